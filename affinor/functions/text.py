@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _accent_tables() -> tuple[str, str]:
@@ -28,7 +29,7 @@ def strip_accents(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, _FROM, _TO), r"\p{Mn}+", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def plain_text(s: pd.Series) -> pd.Series:
     """Entities resolved and accents stripped, for texts with any entity or compatibility character."""
     def one(x):
@@ -38,7 +39,7 @@ def plain_text(s: pd.Series) -> pd.Series:
     return s.map(one, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(s: pd.Series) -> pd.Series:
     return s.map(lambda x: html.unescape(x) if "&" in x else x, na_action="ignore")
 

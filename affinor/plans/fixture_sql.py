@@ -92,4 +92,74 @@ VIEWS: dict[str, str] = {
     "fx_banded": """SELECT e.*, CASE WHEN sim < t.threshold THEN 'distant' WHEN sim >= c.hi THEN 'upper'
         WHEN sim >= c.lo THEN 'middle' ELSE 'lower' END AS band FROM fx_edges e JOIN fx_cuts c USING (grp), fx_threshold t""",
     "fx_threshold": "SELECT round(quantile_cont(sim, 0.25), 4) AS threshold FROM fx_topk",
+    "fx_base": """SELECT p_partkey AS base, upper(p_name[1]) || split_part(p_name, ' ', 1)[2:] AS w1,
+        CASE WHEN p_partkey % 8 = 0 THEN 'Jo' ELSE 'Min' END AS mid,
+        upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] ||
+          translate(p_partkey::VARCHAR, '0123456789', 'abcdefghij') AS last FROM part WHERE p_partkey % 4 = 0""",
+    "fx_people": """SELECT base AS person, w1 || ' ' || mid || ' ' || last AS name, base % 25 AS dept, base % 5 AS univ, base % 5 AS field,
+        CASE WHEN base % 20 = 0 THEN 'O' || base END AS orcid, base % 12 = 0 AS has_anchors,
+        CASE WHEN base % 28 <> 0 THEN 'p' || (base - base % 8) || '@example.org' END AS email FROM fx_base""",
+    "fx_profiles": """SELECT p_partkey AS candidate, base AS person,
+        CASE p_partkey % 4 WHEN 0 THEN last || ', ' || w1 || '-' || mid WHEN 1 THEN w1[1] || '. ' || mid || ' ' || last
+          WHEN 2 THEN w1 || ' ' || mid[1] || '. ' || mid || ' ' || last ELSE 'Other ' || mid || ' ' || last END AS name,
+        w1 || ' ' || mid || ' ' || last AS alternative, p_partkey % 97 * 3 AS works,
+        CASE WHEN p_partkey % 3 = 0 THEN 'O' || (p_partkey - p_partkey % 8) END AS orcid,
+        CASE WHEN p_partkey % 6 = 0 THEN (base + 1) % 5 ELSE base % 5 END AS inst1, (p_partkey + 2) % 5 AS inst2,
+        1991 + p_partkey % 12 AS year1, 1985 AS year2, p_partkey * 3 % 5 AS last_known,
+        [{'n': p_partkey % 7, 'f': p_partkey % 5, 'd': p_partkey % 2},
+         {'n': CASE WHEN p_partkey % 3 <> 0 THEN p_partkey % 11 END, 'f': (p_partkey + 1) % 5, 'd': (p_partkey + 1) % 2},
+         {'n': 2, 'f': base % 5, 'd': base % 2}] AS topics,
+        (CASE WHEN p_partkey % 9 = 1 THEN 3 WHEN p_partkey % 9 = 5 THEN 1 WHEN p_partkey % 10 = 3 THEN 7 ELSE 0 END)::BIGINT AS anchor_hits
+        FROM part JOIN fx_base ON base = p_partkey - p_partkey % 4""",
+    "fx_shares": """SELECT candidate, round(sum(CASE WHEN CASE WHEN field % 2 = 0 THEN t.f IN (field, (field + 1) % 5) ELSE t.d = field % 2 END
+          THEN n ELSE 0 END) / sum(n), 3) + 0.0 AS field_share FROM (
+        SELECT c.candidate, p.field, t, CASE WHEN coalesce(t.n, 0) = 0 THEN 1 ELSE t.n END AS n
+        FROM fx_profiles c JOIN fx_people p USING (person), unnest(c.topics) u(t)) GROUP BY candidate""",
+    "fx_tokens": """SELECT kind, id, name, list_filter(string_split_regex(trim(regexp_replace(regexp_replace(regexp_replace(lower(
+        strip_accents(name)), '([a-z])-([a-z])', '\\1\\2', 'g'), '([a-z])-([a-z])', '\\1\\2', 'g'), '[^a-z]+', ' ', 'g')), ' '), lambda x: x <> '') AS toks
+        FROM (SELECT 'person' AS kind, person AS id, name FROM fx_people UNION ALL SELECT 'candidate', candidate, name FROM fx_profiles
+          UNION ALL SELECT 'short', person, regexp_replace(name, '\\s+[A-Za-z]\\.\\s', ' ', 'g') FROM fx_people
+          UNION ALL SELECT 'cshort', candidate, regexp_replace(name, '\\s+[A-Za-z]\\.\\s', ' ', 'g') FROM fx_profiles)""",
+    "fx_keys": """SELECT DISTINCT CASE kind WHEN 'short' THEN 'person' WHEN 'cshort' THEN 'candidate' ELSE kind END AS kind, id, key FROM (
+        SELECT kind, id, array_to_string(list_sort(toks), ' ') AS key FROM fx_tokens WHERE len(toks) > 0
+        UNION ALL SELECT kind, id, array_to_string(list_sort([toks[i], array_to_string(list_concat(toks[:i-1], toks[i+1:]), '')]), ' ')
+        FROM fx_tokens, range(1, 20) r(i) WHERE i <= len(toks) AND len(toks) > 1)""",
+    "fx_key_pairs": "SELECT DISTINCT p.id AS person, c.id AS candidate FROM fx_keys p JOIN fx_keys c USING (key) WHERE p.kind = 'person' AND c.kind = 'candidate'",
+    "fx_initial_pairs": """WITH p AS (SELECT id AS person, toks, list_filter(toks, lambda t: len(t) > 1) AS fullt FROM fx_tokens WHERE kind = 'person'),
+        c AS (SELECT id AS candidate, toks, list_filter(toks, lambda t: len(t) > 1) AS fullt FROM fx_tokens WHERE kind = 'candidate'),
+        pt AS (SELECT DISTINCT person, unnest(fullt) AS t FROM p), ct AS (SELECT DISTINCT candidate, unnest(fullt) AS t FROM c),
+        two AS (SELECT person, candidate FROM pt JOIN ct USING (t) GROUP BY 1, 2 HAVING count(*) >= 2),
+        x AS (SELECT person, candidate, p.fullt AS pf, c.fullt AS cf,
+          list_filter(p.toks, lambda t: len(t) = 1) AS pi, list_filter(c.toks, lambda t: len(t) = 1) AS ci
+          FROM two JOIN p USING (person) JOIN c USING (candidate))
+        SELECT person, candidate, len(list_filter(list_filter(pf, lambda t: NOT list_contains(cf, t)), lambda t: NOT list_contains(ci, t[1]))) = 0
+          AND len(list_filter(list_filter(cf, lambda t: NOT list_contains(pf, t)), lambda t: NOT list_contains(pi, t[1]))) = 0 AS explained FROM x""",
+    "fx_name_pairs": "SELECT person, candidate FROM fx_key_pairs UNION SELECT person, candidate FROM fx_initial_pairs WHERE explained",
+    "fx_evidence": """SELECT person, c.candidate, p.univ, p.field, c.works, c.orcid, c.anchor_hits, s.field_share,
+        (c.inst1 = p.univ AND c.year1 >= 1998) OR c.last_known = p.univ AS affiliation_ok,
+        n.person IS NOT NULL OR c.anchor_hits >= 1 AS name_ok, s.field_share >= 0.4 AS topic_ok,
+        CASE WHEN p.orcid IS NOT NULL AND c.orcid IS NOT NULL THEN p.orcid = c.orcid END AS orcid_match
+        FROM fx_profiles c JOIN fx_people p USING (person) JOIN fx_shares s USING (candidate)
+        LEFT JOIN fx_name_pairs n USING (person, candidate)""",
+    "fx_cands": """SELECT *, affiliation_ok AND name_ok AND (topic_ok OR anchor_hits >= 1) AS strong FROM fx_evidence
+        WHERE name_ok OR anchor_hits > 0 OR affiliation_ok""",
+    "fx_decisions": """WITH st AS (SELECT *, row_number() OVER (PARTITION BY person ORDER BY anchor_hits DESC, candidate) AS ra,
+          row_number() OVER (PARTITION BY person ORDER BY works DESC, candidate) AS rw FROM fx_cands WHERE strong),
+        agg AS (SELECT person, count(*) AS n, bool_or(affiliation_ok) AS any_aff, bool_or(affiliation_ok AND name_ok) AS any_name,
+          count(*) FILTER (orcid_match) AS n_orcid, max(candidate) FILTER (orcid_match) AS c_orcid, coalesce(bool_or(orcid_match AND affiliation_ok), false) AS orcid_aff
+          FROM fx_cands GROUP BY 1),
+        sa AS (SELECT person, count(*) AS n_strong, count(*) FILTER (anchor_hits > 0) AS n_anch, max(candidate) FILTER (ra = 1) AS top_anch,
+          max(anchor_hits) FILTER (ra = 1) AS a1, coalesce(max(anchor_hits) FILTER (ra = 2), 0) AS a2, max(candidate) FILTER (rw = 1) AS big,
+          max(works) FILTER (rw = 1) AS w1, coalesce(max(works) FILTER (rw = 2), 0) AS w2, max(orcid) FILTER (rw = 1) AS big_orcid,
+          min(orcid) AS omin, max(orcid) AS omax FROM st GROUP BY 1),
+        d AS (SELECT p.person, p.has_anchors, a.*, s.*, CASE WHEN p.orcid IS NOT NULL AND n_orcid = 1 AND orcid_aff THEN c_orcid
+            WHEN n_strong = 1 THEN big WHEN n_strong > 1 AND n_anch = 1 THEN top_anch
+            WHEN n_strong > 1 AND n_anch > 1 AND a1 >= 3 AND a1 >= 2 * a2 THEN top_anch
+            WHEN n_strong > 1 AND w2 <= 0.10 * greatest(w1, 1) AND NOT coalesce(omin <> big_orcid OR omax <> big_orcid, false) THEN big END AS choice
+          FROM fx_people p LEFT JOIN agg a ON a.person = p.person LEFT JOIN sa s ON s.person = p.person)
+        SELECT d.person AS person, d.choice AS candidate, CASE WHEN d.choice IS NOT NULL THEN 'matched' ELSE 'excluded' END AS status,
+          CASE WHEN d.choice IS NOT NULL THEN NULL WHEN coalesce(n_strong, 0) > 1 THEN 'ambiguous_multiple_candidates' WHEN n IS NULL THEN 'no_candidate'
+            WHEN NOT any_aff THEN 'affiliation_mismatch' WHEN NOT any_name THEN 'name_mismatch' ELSE 'topic_mismatch' END AS reason,
+          CASE WHEN d.choice IS NOT NULL THEN CASE WHEN c.orcid_match OR c.anchor_hits >= 1 THEN 'high' ELSE 'medium' END END AS confidence
+        FROM d LEFT JOIN fx_cands c ON c.person = d.person AND c.candidate = d.choice""",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinor.operators import items as I
+from affinor.operators import resolve as R
 from affinor.operators import topics as T
 from affinor.operators import vectors as V
 from affinor.operators.ranking import grouped_quantiles
@@ -30,6 +31,19 @@ def field_mask(fields: str):
     return F.aggregate(fields, F.lit(0).cast("long"), lambda m, f: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), f.cast("int"))))
 
 
+MIDDLES = ("Jo", "Min")
+
+
+def letters(c):
+    """Digits of a key spelled as letters."""
+    return F.translate(c.cast("string"), "0123456789", "abcdefghij")
+
+
+def full_name(b):
+    mid = F.element_at(F.array(*[F.lit(m) for m in MIDDLES]), (b % 8 / 4).cast("int") + 1)
+    return F.concat_ws(" ", F.initcap(F.split("p_name", " ")[0]), mid, F.concat(F.initcap(F.split("p_name", " ")[1]), letters(b)))
+
+
 class Fixtures:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -121,6 +135,59 @@ class Fixtures:
     def profile(self) -> DataFrame:
         return T.topic_profile(self.home, self.item_topics)
 
+    # ---------------------------------------------------------------- people and author profiles
+    @cached_property
+    def people(self) -> DataFrame:
+        """Every fourth part is a person; the name is built from the part's words and its number."""
+        b = F.col("p_partkey")
+        return self.t("part").filter(b % 4 == 0).select(
+            b.alias("person"), full_name(b).alias("name"), (b % 25).alias("dept"), (b % 5).alias("univ"), (b % 5).alias("field"),
+            F.when(b % 20 == 0, F.concat(F.lit("O"), b)).alias("orcid"), (b % 12 == 0).alias("has_anchors"),
+            F.when(b % 28 == 0, F.lit(None)).otherwise(F.concat(F.lit("p"), b - b % 8, F.lit("@example.org"))).alias("email"))
+
+    @cached_property
+    def profiles(self) -> DataFrame:
+        """Author profiles: four per person with other spellings of the name, and attributes arithmetic in the key."""
+        p = self.t("part")
+        c = F.col("p_partkey")
+        base = p.filter("p_partkey % 4 = 0").select(F.col("p_partkey").alias("base"), F.col("p_name").alias("base_name"))
+        j = p.select("p_partkey").withColumn("base", c - c % 4).join(base, "base")
+        w1 = F.initcap(F.split("base_name", " ")[0])
+        mid = F.element_at(F.array(*[F.lit(m) for m in MIDDLES]), (F.col("base") % 8 / 4).cast("int") + 1)
+        last = F.concat(F.initcap(F.split("base_name", " ")[1]), letters(F.col("base")))
+        name = (F.when(c % 4 == 0, F.concat(last, F.lit(", "), w1, F.lit("-"), mid))
+                .when(c % 4 == 1, F.concat_ws(" ", F.concat(F.substring(w1, 1, 1), F.lit(".")), mid, last))
+                .when(c % 4 == 2, F.concat_ws(" ", w1, F.concat(F.substring(mid, 1, 1), F.lit(".")), mid, last))
+                .otherwise(F.concat_ws(" ", F.lit("Other"), mid, last)))
+        inst = F.when(c % 6 == 0, (F.col("base") + 1) % 5).otherwise(F.col("base") % 5)
+        topic = lambda n, f, d: F.struct(n.alias("count"), f.alias("field"), d.alias("domain"))
+        return j.select(
+            c.alias("candidate"), F.col("base").alias("person"), name.alias("name"),
+            F.array(F.concat_ws(" ", w1, mid, last)).alias("alternatives"), (c % 97 * 3).alias("works"),
+            F.when(c % 3 == 0, F.concat(F.lit("O"), c - c % 8)).alias("orcid"),
+            F.array(F.struct(inst.alias("inst"), F.array(1990 + c % 12, 1991 + c % 12).alias("years")),
+                    F.struct(((c + 2) % 5).alias("inst"), F.array(F.lit(1985).cast("long")).alias("years"))).alias("affiliations"),
+            F.array(c * 3 % 5).alias("last_known"),
+            F.array(topic(c % 7, c % 5, c % 2), topic(F.when(c % 3 != 0, c % 11), (c + 1) % 5, (c + 1) % 2),
+                    topic(F.lit(2).cast("long"), F.col("base") % 5, F.col("base") % 2)).alias("topics"),
+            F.when(c % 9 == 1, 3).when(c % 9 == 5, 1).when(c % 10 == 3, 7).otherwise(0).cast("long").alias("anchor_hits"))
+
+    @cached_property
+    def field_scope(self) -> DataFrame:
+        """Topic fields (or, where none are given, domains) that count as inside a field: one row per field."""
+        rows = [(f, [f, (f + 1) % 5] if f % 2 == 0 else None, [f % 2]) for f in range(5)]
+        return self.spark.createDataFrame(rows, "field long, topic_fields array<long>, domains array<long>")
+
+    @cached_property
+    def evidence(self) -> DataFrame:
+        pairs = self.profiles.join(self.people.select("person", F.col("name").alias("person_name"), "univ", "field",
+                                                      F.col("orcid").alias("person_orcid")), "person")
+        return R.evidence(pairs, self.field_scope, YEAR_TO)
+
+    @cached_property
+    def decisions(self) -> DataFrame:
+        return R.decide(self.people, self.evidence)
+
     # ---------------------------------------------------------------- vectors
     @cached_property
     def item_vectors(self) -> DataFrame:
@@ -160,7 +227,7 @@ class Fixtures:
     @cached_property
     def threshold(self) -> DataFrame:
         q = grouped_quantiles(self.topk, [], "sim", [PARAMS.threshold_quantile])
-        return q.select(F.round("q0", 4).alias("threshold"))
+        return cut_lineage(q.select(F.round("q0", 4).alias("threshold")))
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -176,7 +243,11 @@ class Fixtures:
 
     @cached_property
     def banded(self) -> DataFrame:
-        return V.with_bands(self.edges, V.band_cuts(self.edges), self.threshold)
+        return V.with_bands(self.edges, self.cuts, self.threshold)
+
+    @cached_property
+    def cuts(self) -> DataFrame:
+        return cut_lineage(V.band_cuts(self.edges))
 
     @cached_property
     def neighbours(self) -> DataFrame:

@@ -81,7 +81,7 @@ def topic_shift(fx: Fixtures):
     return T.topic_shift(p).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("subfield_mix", """WITH f AS (SELECT item, arg_min(subfield, (pos, topic, score)) AS subfield FROM fx_item_topics GROUP BY 1)
+@query("subfield_mix", """WITH f AS (SELECT item, arg_min(subfield, (pos, topic, score, subfield)) AS subfield FROM fx_item_topics GROUP BY 1)
     SELECT 'entity' AS level, entity AS id, subfield, count(*) AS n FROM fx_home JOIN f USING (item) GROUP BY 2, 3
     UNION ALL SELECT 'dept', e.dept, subfield, count(*) FROM fx_home JOIN f USING (item) JOIN fx_entities e USING (entity) GROUP BY 2, 3""")
 def subfield_mix(fx: Fixtures):
@@ -94,4 +94,4 @@ def subfield_mix(fx: Fixtures):
 
 
 def first_topics(fx: Fixtures):
-    return fx.item_topics.groupBy("item").agg(F.min_by("subfield", F.struct("pos", "topic", "score")).alias("subfield"))
+    return fx.item_topics.groupBy("item").agg(F.min_by("subfield", F.struct("pos", "topic", "score", "subfield")).alias("subfield"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+AREA: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -19,6 +20,7 @@ def query(name: str, sql: str | None = None):
             return fn(Fixtures(spark, sf_dir))
         run.__name__ = name
         QUERIES[name] = run
+        AREA[name] = fn.__module__.rsplit(".", 1)[-1]
         if sql:
             ORACLES[name] = sql
         return fn
