@@ -40,8 +40,13 @@ def plain_text(s: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(StringType())
-def unescape(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: html.unescape(x) if "&" in x else x, na_action="ignore")
+def tidy_text(s: pd.Series) -> pd.Series:
+    """Entities resolved, white space collapsed, nothing left gives null."""
+    def one(x):
+        if x is None:
+            return None
+        return " ".join((html.unescape(x) if "&" in x else x).split()) or None
+    return s.map(one)
 
 
 def norm_title(c: Column) -> Column:
@@ -60,8 +65,7 @@ def abstract_from_positions(inverted: Column) -> Column:
     pairs = F.flatten(F.transform(F.map_entries(inverted), lambda e: F.transform(
         e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
     text = F.array_join(F.transform(F.array_sort(pairs), lambda x: x["w"]), " ")
-    clean = F.trim(F.regexp_replace(unescape(F.regexp_replace(text, "<[^>]+>", " ")), r"\s+", " "))
-    return F.nullif(clean, F.lit(""))
+    return tidy_text(F.regexp_replace(text, "<[^>]+>", " "))
 
 
 def doi_key(c: Column) -> Column:

@@ -105,7 +105,7 @@ VIEWS: dict[str, str] = {
         w1 || ' ' || mid || ' ' || last AS alternative, p_partkey % 97 * 3 AS works,
         CASE WHEN p_partkey % 3 = 0 THEN 'O' || (p_partkey - p_partkey % 8) END AS orcid,
         CASE WHEN p_partkey % 6 = 0 THEN (base + 1) % 5 ELSE base % 5 END AS inst1, (p_partkey + 2) % 5 AS inst2,
-        1991 + p_partkey % 12 AS year1, 1985 AS year2, p_partkey * 3 % 5 AS last_known,
+        1991 + p_partkey % 12 AS year1, 1985 AS year2, CASE WHEN p_partkey % 3 < 2 THEN base % 5 ELSE (base + 3) % 5 END AS last_known,
         [{'n': p_partkey % 7, 'f': p_partkey % 5, 'd': p_partkey % 2},
          {'n': CASE WHEN p_partkey % 3 <> 0 THEN p_partkey % 11 END, 'f': (p_partkey + 1) % 5, 'd': (p_partkey + 1) % 2},
          {'n': 2, 'f': base % 5, 'd': base % 2}] AS topics,
@@ -162,4 +162,9 @@ VIEWS: dict[str, str] = {
             WHEN NOT any_aff THEN 'affiliation_mismatch' WHEN NOT any_name THEN 'name_mismatch' ELSE 'topic_mismatch' END AS reason,
           CASE WHEN d.choice IS NOT NULL THEN CASE WHEN c.orcid_match OR c.anchor_hits >= 1 THEN 'high' ELSE 'medium' END END AS confidence
         FROM d LEFT JOIN fx_cands c ON c.person = d.person AND c.candidate = d.choice""",
+    "fx_words": """SELECT doc_id, lang, source, n_chars, word, pos FROM (SELECT doc_id, lang, source, n_chars,
+        unnest(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) AS word,
+        generate_subscripts(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), 1) - 1 AS pos FROM documents)""",
+    "fx_links": """SELECT page_id, url, href, pos FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1)) AS href,
+        generate_subscripts(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1), 1) - 1 AS pos FROM pages)""",
 }

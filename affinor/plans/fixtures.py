@@ -167,7 +167,7 @@ class Fixtures:
             F.when(c % 3 == 0, F.concat(F.lit("O"), c - c % 8)).alias("orcid"),
             F.array(F.struct(inst.alias("inst"), F.array(1990 + c % 12, 1991 + c % 12).alias("years")),
                     F.struct(((c + 2) % 5).alias("inst"), F.array(F.lit(1985).cast("long")).alias("years"))).alias("affiliations"),
-            F.array(c * 3 % 5).alias("last_known"),
+            F.array(F.when(c % 3 < 2, F.col("base") % 5).otherwise((F.col("base") + 3) % 5)).alias("last_known"),
             F.array(topic(c % 7, c % 5, c % 2), topic(F.when(c % 3 != 0, c % 11), (c + 1) % 5, (c + 1) % 2),
                     topic(F.lit(2).cast("long"), F.col("base") % 5, F.col("base") % 2)).alias("topics"),
             F.when(c % 9 == 1, 3).when(c % 9 == 5, 1).when(c % 10 == 3, 7).otherwise(0).cast("long").alias("anchor_hits"))
@@ -182,7 +182,7 @@ class Fixtures:
     def evidence(self) -> DataFrame:
         pairs = self.profiles.join(self.people.select("person", F.col("name").alias("person_name"), "univ", "field",
                                                       F.col("orcid").alias("person_orcid")), "person")
-        return R.evidence(pairs, self.field_scope, YEAR_TO)
+        return cut_lineage(R.evidence(pairs, self.field_scope, YEAR_TO))
 
     @cached_property
     def decisions(self) -> DataFrame:
