@@ -61,8 +61,9 @@ def distributed_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column
 
 
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                      bins: int = 1024) -> DataFrame:
-    """Exact linear-interpolated quantiles per key: columns `n`, `q0`, `q1`, ...
+                      bins: int = 1024, bounds: bool = False) -> DataFrame:
+    """Exact linear-interpolated quantiles per key: columns `n`, `q0`, `q1`, ... (with `bounds` also the two neighbouring
+    values, `q0_lo`, `q0_hi`, ...).
 
     Pass one counts values per histogram bin (a hot key shrinks to `bins` partial counts); pass two keeps only the rows
     of the bins that hold a wanted rank, already merged by distinct value, and walks those. No task ever holds a key."""
@@ -100,6 +101,8 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
     for i, pr in enumerate(probs):
         frac = (F.col("n") - 1) * pr - F.floor((F.col("n") - 1) * pr)
         cols.append(F.max(F.when(F.col("_p") == i, F.col("_a") + (F.col("_b") - F.col("_a")) * frac)).alias(f"q{i}"))
+        if bounds:
+            cols += [F.max(F.when(F.col("_p") == i, F.col(c))).alias(f"q{i}_{n}") for c, n in (("_a", "lo"), ("_b", "hi"))]
     out = found.groupBy(*gk, "n").agg(*cols)
     return out if keys else out.drop("_one")
 

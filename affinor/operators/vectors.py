@@ -72,14 +72,20 @@ def unit_means(df: DataFrame, keys: Sequence[str], v: str = "v", weight: Column
     all rows reaches the final aggregate as one partial vector per task. Keys without vectors give no row."""
     keys = list(keys)
     w = weight if weight is not None else F.lit(1.0)
+    return vector_sums(df, keys, v, w).select(*keys, unit("v").alias("v"))
+
+
+def vector_sums(df: DataFrame, keys: Sequence[str], v: str, weight: Column) -> DataFrame:
+    """(keys, v): weighted sum of the vectors per (long) key."""
+    keys = list(keys)
     src = df.filter(F.col(v).isNotNull()).select(*[F.col(k).cast("long").alias(k) for k in keys],
-                                                 F.col(v).alias("v"), w.cast("double").alias("w"))
+                                                 F.col(v).alias("v"), weight.cast("double").alias("w"))
     schema = ", ".join([f"{k} long" for k in keys] + ["s array<double>", "w double"])
     part = src.mapInArrow(_partial_sums(keys), schema)
     # exploding per dimension keeps the final sum a combinable aggregate of plain numbers
     dims = part.select(*keys, F.posexplode("s").alias("dim", "x")).groupBy(*keys, "dim").agg(F.sum("x").alias("x"))
     return (dims.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("l"))
-            .select(*keys, unit(F.transform("l", lambda e: e["x"])).alias("v")))
+            .select(*keys, F.transform("l", lambda e: e["x"]).alias("v")))
 
 
 def citation_weight(cites: str = "cites") -> Column:
@@ -121,6 +127,7 @@ class Tile:
         self._t = t
         ids = t.column("id").to_numpy()
         m = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+        self._m = m
         self.i, self.j = ids[self._left], ids[self._right]
         self.sim = np.round(m[self._left] @ m[self._right].T, 9)
         self.diagonal = same and a == b
@@ -134,9 +141,14 @@ class Tile:
     def right(self, name: str) -> np.ndarray:
         return self._t.column(name).to_numpy()[self._right]
 
+    def right_matrix(self) -> np.ndarray:
+        return self._m[self._right]
+
     def left_list(self, name: str) -> list:
-        c = self._t.column(name)
-        return [c[int(r)].as_py() for r in np.flatnonzero(self._left)]
+        return self._t.column(name).filter(pa.array(self._left)).to_pylist()
+
+    def right_list(self, name: str) -> list:
+        return self._t.column(name).filter(pa.array(self._right)).to_pylist()
 
     def upper(self) -> np.ndarray:
         """Each unordered pair once."""
@@ -146,7 +158,7 @@ class Tile:
 def tile_map(left: DataFrame, fn: Callable[[Tile], dict[str, np.ndarray]], schema: str, keys: Sequence[str] = (),
              right: DataFrame | None = None, carry: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
     """Run `fn` on every tile. `left` (and `right`) have id long, v array<double>, the long `keys` and the columns to
-    `carry` (null on the right where it lacks them). Without `right` the tiles are the unordered block pairs of `left`
+    `carry` (null on a side that lacks one). Without `right` the tiles are the unordered block pairs of `left`
     with itself. A tile task holds at most about two blocks, however large a key is."""
     keys, carry = list(keys), list(carry)
     same = right is None
@@ -163,9 +175,9 @@ def tile_map(left: DataFrame, fn: Callable[[Tile], dict[str, np.ndarray]], schem
         else:
             lhs = sizes.withColumn("_rnb", r.agg(F.coalesce(F.max("_nb"), F.lit(1))).scalar())
             rhs = r.withColumn("_lnb", sizes.agg(F.coalesce(F.max("_nb"), F.lit(1))).scalar())
-        types = dict(left.dtypes)
-        rc = [F.col(c) if c in right.columns else F.lit(None).cast(types[c]).alias(c) for c in carry]
-        lhs = lhs.select(*keys, "id", "v", *carry, "_blk", F.lit(0).alias("_side"), F.col("_blk").alias("_a"),
+        types = {**dict(right.dtypes), **dict(left.dtypes)}
+        lc, rc = ([F.col(c) if c in d.columns else F.lit(None).cast(types[c]).alias(c) for c in carry] for d in (left, right))
+        lhs = lhs.select(*keys, "id", "v", *lc, "_blk", F.lit(0).alias("_side"), F.col("_blk").alias("_a"),
                          F.explode(F.sequence(F.lit(0), F.col("_rnb") - 1)).alias("_b"))
         rhs = rhs.select(*keys, "id", "v", *rc, "_blk", F.lit(1).alias("_side"), F.col("_blk").alias("_b"),
                          F.explode(F.sequence(F.lit(0), F.col("_lnb") - 1)).alias("_a"))
@@ -290,30 +302,30 @@ def pair_ranks(vectors: DataFrame, values: DataFrame, id: str = "entity", block:
             .groupBy("value").agg(F.sum("below").alias("below"), F.sum("total").alias("total")))
 
 
-def pair_median(vectors: DataFrame, keys: Sequence[str] = (), id: str = "entity", block: int = BLOCK) -> DataFrame:
-    """Exact lower and upper median of all pair similarities per key: columns n, lo, hi.
+def pair_median(vectors: DataFrame, within: Sequence[str] = (), id: str = "entity", block: int = BLOCK) -> DataFrame:
+    """Exact lower and upper median over all pair similarities (only pairs that agree on `within`): one row n, lo, hi.
 
     The first pass counts pairs per histogram bin; the second sends out only the pairs in the one or two bins that hold
     the middle ranks, merged by value."""
-    gk = list(keys) or ["_one"]
-    if not keys:
-        vectors = vectors.withColumn("_one", F.lit(1).cast("long"))
+    keys, gk = list(within), ["_one"]
+    one = F.lit(1).cast("long").alias("_one")
 
     def count(t: Tile):
         u, n = np.unique(_bin(t.sim[t.upper()]), return_counts=True)
         return {"bin": u.astype(np.int64), "c": n.astype(np.int64)}
-    hist = (tile_map(_side(vectors, id, *gk), count, "bin long, c long", gk, block=block)
-            .groupBy(*gk, "bin").agg(F.sum("c").alias("c")))
+    hist = (tile_map(_side(vectors, id, *keys), count, "bin long, c long", keys, block=block)
+            .groupBy("bin").agg(F.sum("c").alias("c")).select(one, "bin", "c"))
     want, bins = _middle_bins(hist, gk)
-    lim = bins.groupBy(*gk).agg(F.min("bin").alias("b0"), F.max("bin").alias("b1"))
+    lim = bins.agg(F.struct(F.min("bin").alias("b0"), F.max("bin").alias("b1")))
 
     def emit(t: Tile):
         b, b0, b1 = _bin(t.sim), t.left("b0")[0], t.left("b1")[0]
         u, n = np.unique(t.sim[t.upper() & ((b == b0) | (b == b1))], return_counts=True)
         return {"s": u, "m": n.astype(np.int64)}
-    vals = tile_map(_side(vectors, id, *gk).join(lim, gk), emit, "s double, m long", gk, carry=["b0", "b1"], block=block)
-    out = _middle_values(want, bins, vals.groupBy(*gk, "s").agg(F.sum("m").alias("m")), gk, HIST)
-    return out if keys else out.drop("_one")
+    src = _side(vectors, id, *keys).withColumn("_l", lim.scalar()).select("*", "_l.b0", "_l.b1")
+    vals = tile_map(src, emit, "s double, m long", keys, carry=["b0", "b1"], block=block)
+    vals = vals.groupBy("s").agg(F.sum("m").alias("m")).select(one, "s", "m")
+    return _middle_values(want, bins, vals, gk, HIST).drop("_one")
 
 
 def _middle_bins(hist: DataFrame, gk: list[str]) -> tuple[DataFrame, DataFrame]:

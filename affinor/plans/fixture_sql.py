@@ -55,7 +55,7 @@ VIEWS: dict[str, str] = {
     "fx_profile": """SELECT entity, topic, round(sum(score), 6) AS weight, count(*) AS n_items
         FROM fx_home JOIN fx_item_topics USING (item) GROUP BY 1, 2""",
     "fx_share": """SELECT entity, topic, weight, weight / sum(weight) OVER (PARTITION BY entity) AS share FROM fx_profile""",
-    "fx_item_vectors": """SELECT vec_id AS item, vec_id % 50 AS entity, (1997 + vec_id % 5)::INT AS year, vec_id % 17 AS cites,
+    "fx_item_vectors": """SELECT vec_id AS item, vec_id % 50 AS entity, (1997 + vec_id // 50 % 5)::INT AS year, vec_id % 17 AS cites,
         (label % 5)::BIGINT AS field, embedding::DOUBLE[] AS v FROM embeddings""",
     "fx_vec_dims": """SELECT item, entity, year, cites, field, unnest(v) AS x, generate_subscripts(v, 1) AS dim
         FROM fx_item_vectors""",
@@ -167,4 +167,19 @@ VIEWS: dict[str, str] = {
         generate_subscripts(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), 1) - 1 AS pos FROM documents)""",
     "fx_links": """SELECT page_id, url, href, pos FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1)) AS href,
         generate_subscripts(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1), 1) - 1 AS pos FROM pages)""",
+    "fx_vector_members": """SELECT * FROM fx_item_vectors UNION ALL SELECT item, (item * 7 + 1) % 50, year, cites, field, v FROM fx_item_vectors
+        WHERE item % 4 = 0 AND (item * 7 + 1) % 50 <> item % 50""",
+    "fx_places": """SELECT entity, v, entity % 5 AS field, entity % 3 AS univ, entity % 6 AS subcluster, v[1] AS x, v[2] AS y FROM fx_entity_vectors""",
+    "fx_place_pairs": """SELECT a.entity AS i, b.entity AS j, round(list_dot_product(a.v, b.v), 9) AS sim, a.field AS field_i, b.field AS field_j,
+        a.univ AS univ_i, b.univ AS univ_j FROM fx_places a JOIN fx_places b ON a.entity <> b.entity""",
+    "fx_place_topk": """SELECT i, j, sim FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS rank FROM fx_place_pairs) WHERE rank <= 5""",
+    "fx_core": """SELECT t.item, t.entity, CASE WHEN year <= 1998 THEN 'early' ELSE 'recent' END AS period, t.v, round(list_dot_product(t.v, e.v), 9) AS sim
+        FROM fx_item_vectors t JOIN fx_entity_vectors e USING (entity) WHERE year IN (1997, 1998, 2000, 2001)""",
+    "fx_mad": """SELECT entity, period, med, coalesce(nullif(quantile_cont(abs(sim - med), 0.5), 0), 1e-6) AS mad FROM fx_core
+        JOIN (SELECT entity, period, quantile_cont(sim, 0.5) AS med FROM fx_core GROUP BY 1, 2) USING (entity, period) GROUP BY 1, 2, 3""",
+    "fx_kept_core": """SELECT c.* FROM fx_core c JOIN fx_mad m USING (entity, period) WHERE round(sim, 6) >= round(med - 2.5 * 1.4826 * mad, 6) AND sim >= 0.0""",
+    "fx_period_dims": """SELECT entity, period, dim, sum(x) AS x FROM (SELECT entity, period, unnest(v) AS x, generate_subscripts(v, 1) AS dim FROM fx_kept_core) GROUP BY 1, 2, 3""",
+    "fx_period_vectors": """SELECT entity, period, list(x / n ORDER BY dim) AS v FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY entity, period)) AS n FROM fx_period_dims) GROUP BY 1, 2""",
+    "fx_shift": """SELECT e.entity, 1 - list_dot_product(e.v, r.v) AS shift, e.v AS ev, r.v AS rv FROM fx_period_vectors e JOIN fx_period_vectors r USING (entity)
+        WHERE e.period = 'early' AND r.period = 'recent'""",
 }

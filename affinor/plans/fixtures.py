@@ -193,7 +193,7 @@ class Fixtures:
     def item_vectors(self) -> DataFrame:
         i = F.col("vec_id")
         return self.t("embeddings").select(
-            i.alias("item"), (i % 50).alias("entity"), (1997 + i % 5).cast("int").alias("year"),
+            i.alias("item"), (i % 50).alias("entity"), (1997 + F.floor(i / 50) % 5).cast("int").alias("year"),
             (i % 17).alias("cites"), (F.col("label") % 5).cast("long").alias("field"),
             F.col("embedding").cast("array<double>").alias("v"))
 
@@ -211,10 +211,24 @@ class Fixtures:
             .when(F.col("vec_id") % 37 == 0, F.lit("insufficient_papers")).alias("unreliable"),
             F.col("embedding").cast("array<double>").alias("v")).withColumn("mask", field_mask("fields"))
 
+    @cached_property
+    def vector_members(self) -> DataFrame:
+        """Item rows of the vector entities; every fourth item belongs to a second entity too."""
+        e = self.item_vectors
+        return e.unionByName(e.filter("item % 4 = 0").withColumn("entity", (F.col("item") * 7 + 1) % 50)
+                             .filter((F.col("item") * 7 + 1) % 50 != F.col("item") % 50))
+
     @cached_property
     def entity_vectors(self) -> DataFrame:
         return V.entity_vectors(self.item_vectors)
 
+    @cached_property
+    def places(self) -> DataFrame:
+        """Entity vectors with a field, a university, a sub-cluster and a map position."""
+        e = F.col("entity")
+        return cut_lineage(self.entity_vectors).select("entity", "v", (e % 5).alias("field"), (e % 3).alias("univ"), (e % 6).alias("subcluster"),
+                                                       F.get("v", F.lit(0)).alias("x"), F.get("v", F.lit(1)).alias("y"))
+
     @cached_property
     def row_share(self) -> DataFrame:
         """Topic shares of the row entities: the topics of the item with the same number."""
@@ -257,3 +271,14 @@ class Fixtures:
     @cached_property
     def topk(self) -> DataFrame:
         return self.neighbours.filter("kind = 0").drop("kind")
+
+    # ---------------------------------------------------------------- the published graph and its reports
+    @cached_property
+    def members(self) -> DataFrame:
+        """Row entities without their vectors."""
+        return self.row_vectors.drop("v")
+
+    @cached_property
+    def adjacency(self) -> DataFrame:
+        from affinor.operators import graph as G
+        return G.adjacency(self.edges.withColumn("type", F.lit("similarity")), self.members.select("entity"))

@@ -26,7 +26,8 @@ def text_inverted_rebuild(fx: Fixtures):
     words = F.filter(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), lambda w: w != "")
     pos = fx.t("documents").select("doc_id", F.posexplode(words).alias("pos", "word"))
     inv = (pos.groupBy("doc_id", "word").agg(F.sort_array(F.collect_list("pos")).alias("p"))
-           .groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "p"))).alias("inv")))
+           .groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "p"))).alias("inv"))
+           .filter(F.size("inv") > 0))
     return inv.select("doc_id", X.abstract_from_positions(F.col("inv")).alias("text"))
 
 
