@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 
 import pandas as pd
@@ -60,12 +61,16 @@ def short_id(c: Column) -> Column:
     return F.element_at(F.split(F.rtrim(c, F.lit("/")), "/"), -1)
 
 
-def abstract_from_positions(inverted: Column) -> Column:
-    """Text from a map of word -> positions; empty gives null."""
-    pairs = F.flatten(F.transform(F.map_entries(inverted), lambda e: F.transform(
-        e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    text = F.array_join(F.transform(F.array_sort(pairs), lambda x: x["w"]), " ")
-    return tidy_text(F.regexp_replace(text, "<[^>]+>", " "))
+@F.pandas_udf(StringType())
+def abstract_from_positions(inverted: pd.Series) -> pd.Series:
+    """Text from a map of word -> positions: tags and entities out, white space collapsed, nothing left gives null."""
+    def one(m):
+        if not m:
+            return None
+        pairs = sorted((p, w) for w, at in (m.items() if isinstance(m, dict) else m) for p in at)
+        text = html.unescape(re.sub("<[^>]+>", " ", " ".join(w for _, w in pairs)))
+        return " ".join(text.split()) or None
+    return inverted.map(one)
 
 
 def doi_key(c: Column) -> Column:
