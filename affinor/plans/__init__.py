@@ -2,7 +2,7 @@
 from importlib import import_module
 
 AREAS = ("q_items", "q_topics", "q_vectors", "q_resolve", "q_text", "q_graph", "q_recommend", "q_trend", "q_audit",
-         "q_search", "q_report")
+         "q_search", "q_report", "q_iterative")
 
 
 def load_all() -> None:
