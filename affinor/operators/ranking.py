@@ -39,7 +39,7 @@ def distributed_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column
     """Exact row_number for every row of every key without putting a key into one task.
 
     Rows are range-partitioned by (key, order); a key's position is its position in its range partition plus the number
-    of its rows in earlier partitions. The sorted rows are checkpointed once because both branches must see the same
+    of its rows in earlier partitions. The sorted rows are written once because both branches must see the same
     partitioning. `order` must be unique within a key."""
     aliases = [f"_o{i}" for i in range(len(order))]
     asc, src = [], df

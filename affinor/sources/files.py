@@ -1,20 +1,12 @@
 """File sources and sinks: JSON arrays, JSON lines, CSV, keyed vectors, cached response trees, nested API records."""
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from affinor.functions.text import abstract_from_positions, short_id
-from affinor.session import ensure_checkpoint_dir
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of the cluster (the checkpoint folder)."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex[:12]}"
+from affinor.session import scratch_path
 
 
 def read_json_array(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
