@@ -100,16 +100,15 @@ def append_absent(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFram
 
 
 def anchor_hits(citations: DataFrame, items: DataFrame, authors: DataFrame, min_cite: int = 15, min_title: int = 20) -> DataFrame:
-    """(person, author, hits): authors of the items a person's citations name. An item is taken when its normalised title is
-    contained in the citation; the first such item per citation counts.
-
-    Candidates meet on the title's first three words, cut from every position of the citation, so no citation is compared
-    with the whole item table. `citations`: person, citation, norm; `items`: item, norm."""
-    words = lambda c: F.split(c, " ")
-    key = lambda w, i: F.concat_ws(" ", F.slice(w, i, F.lit(3)))
-    c = citations.filter(F.length("norm") >= min_cite).withColumn("w", words(F.col("norm")))
-    c = (c.withColumn("keys", F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("w", i, F.lit(3)), " "))))
-         .select("person", "citation", F.col("norm").alias("cnorm"), F.explode("keys").alias("key")))
-    t = items.filter(F.length("norm") >= min_title).select("item", F.col("norm").alias("tnorm"), F.array_join(F.slice(words(F.col("norm")), 1, 3), " ").alias("key"))
-    hit = c.join(t, "key").filter(F.contains("cnorm", "tnorm")).groupBy("person", "citation").agg(F.min("item").alias("item"))
+    """(person, author, hits): authors of the items a person's citations name. An item is taken when its normalised title
+    stands in the citation as a run of whole words; the first such item per citation counts.
+
+    Titles meet citations by equality: a citation is cut into its word runs of the lengths titles have, so no citation is
+    compared with titles that only start alike. `citations`: person, citation, norm; `items`: item, norm."""
+    t = items.filter(F.length("norm") >= min_title).select("item", F.col("norm").alias("run"))
+    lengths = t.agg(F.collect_set(F.size(F.split("run", " "))).alias("l")).scalar()  # the few word counts titles have
+    c = citations.filter(F.length("norm") >= min_cite).withColumn("w", F.split("norm", " ")).withColumn("n", F.explode(lengths))
+    runs = (c.filter(F.size("w") >= F.col("n")).select("person", "citation", "w", "n", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)).alias("i"))
+            .select("person", "citation", F.array_join(F.slice("w", F.col("i"), F.col("n")), " ").alias("run")))
+    hit = runs.join(t, "run").groupBy("person", "citation").agg(F.min("item").alias("item"))
     return hit.join(authors, "item").groupBy("person", "author").agg(F.count("*").alias("hits"))

@@ -193,8 +193,10 @@ def flag_crosstab(fx: Fixtures):
 
 @query("anchor_hits", f"""WITH c AS (SELECT item % 40 AS person, item AS cid, lower({CITES}) AS cit FROM fx_items), n AS (SELECT person, cid, trim(regexp_replace(cit, '[^a-z0-9]+', ' ', 'g')) AS norm FROM c),
     t AS (SELECT item, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS norm FROM fx_items),
-    h AS (SELECT n.person, n.cid, min(t.item) AS item FROM n JOIN t ON n.cid % 100 = t.item % 100 AND contains(n.norm, t.norm) AND length(n.norm) >= 15 AND length(t.norm) >= 20 GROUP BY 1, 2)
-    SELECT person, entity AS author, count(*) AS hits FROM h JOIN fx_roles USING (item) GROUP BY 1, 2""".replace("n.cid % 100 = t.item % 100 AND ", ""))
+    l AS (SELECT DISTINCT len(string_split(norm, ' ')) AS k FROM t WHERE length(norm) >= 20),
+    w AS (SELECT person, cid, array_to_string(ws[i:i + k - 1], ' ') AS run FROM (SELECT person, cid, string_split(norm, ' ') AS ws FROM n WHERE length(norm) >= 15), l, range(1, 60) r(i) WHERE i + k - 1 <= len(ws)),
+    h AS (SELECT person, cid, min(item) AS item FROM w JOIN t ON run = norm WHERE length(norm) >= 20 GROUP BY 1, 2)
+    SELECT person, entity AS author, count(*) AS hits FROM h JOIN fx_roles USING (item) GROUP BY 1, 2""")
 def anchor_hits(fx: Fixtures):
     c = citations(fx).select((F.col("item") % 40).alias("person"), F.col("item").alias("citation"), norm_title(F.col("citation")).alias("norm"))
     t = fx.items.select("item", norm_title(F.col("title")).alias("norm"))
