@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from affinor.functions.binding import let
 from affinor.functions.text import strip_accents
 
 INITIAL = r"\s+[A-Za-z]\.(?=\s)"
@@ -31,6 +32,10 @@ def drop_middle_initials(name: Column) -> Column:
 
 def keys(toks: Column) -> Column:
     """Order-free keys: all tokens sorted, and each token beside the concatenation of the others."""
+    return let(toks, _keys)
+
+
+def _keys(toks: Column) -> Column:
     n = F.size(toks)
     merged = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.array_sort(F.array(
         F.get(toks, i - 1),
@@ -47,12 +52,16 @@ def all_keys(name: Column) -> Column:
 
 def token_pairs(full: Column) -> Column:
     """Unordered pairs of a name's distinct full tokens (a name has a handful of tokens)."""
-    d = F.array_sort(F.array_distinct(full))
-    return F.flatten(F.transform(d, lambda a: F.transform(F.filter(d, lambda b: b > a), lambda b: F.concat_ws(" ", a, b))))
+    return let(F.array_sort(F.array_distinct(full)), lambda d: F.flatten(F.transform(d, lambda a: F.transform(
+        F.filter(d, lambda b: b > a), lambda b: F.concat_ws(" ", a, b)))))
 
 
 def initials_explain(ta: Column, tb: Column) -> Column:
     """Two or more common full tokens, and every other full token explained by an initial on the other side."""
+    return let(ta, lambda a: let(tb, lambda b: _initials_explain(a, b)))
+
+
+def _initials_explain(ta: Column, tb: Column) -> Column:
     fa, fb = full_tokens(ta), full_tokens(tb)
     common = F.array_intersect(fa, fb)
     def explained(rest: Column, other: Column) -> Column:

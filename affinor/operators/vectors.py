@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from affinor.functions.binding import let
 from affinor.operators.ranking import grouped_quantiles, top_k
 
 BLOCK = 1024
@@ -23,9 +24,9 @@ def dot(a: str | Column, b: str | Column) -> Column:
 
 
 def unit(v: str | Column) -> Column:
-    c = F.col(v) if isinstance(v, str) else v
-    norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(c, lambda x: F.try_divide(x, norm))
+    def scaled(c: Column) -> Column:
+        return let(F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x)), lambda n: F.transform(c, lambda x: F.try_divide(x, n)))
+    return let(F.col(v) if isinstance(v, str) else v, scaled)
 
 
 # ------------------------------------------------------------------ sums of vectors
