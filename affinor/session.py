@@ -1,7 +1,10 @@
 """Session defaults and lineage cutting."""
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -24,12 +27,18 @@ def build_session(app: str = "affinor", master: str | None = None, shuffle_parti
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by spark.checkpoint.dir; a private one is made only where none is set (tests)."""
+    """Use the shared folder named by spark.checkpoint.dir. A private folder is made only for a local master (tests), where driver
+    and executors are one process; any other master without the setting is an error, since executors would not see each other's files."""
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="affinor-ckpt-", dir=os.environ.get("TMPDIR")))
+    if not path:
+        if not re.match(r"local(\[[^\]]*\])?$", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="affinor-ckpt-", dir=os.environ.get("TMPDIR"))
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+    sc.setCheckpointDir(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
