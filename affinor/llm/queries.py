@@ -5,10 +5,15 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from affinor.llm.common import table
+from affinor.llm.decontaminate import decontaminate
 from affinor.llm.exact_dedup import exact_dedup
+from affinor.llm.html_text import extract
+from affinor.llm.jaccard_join import jaccard_join
+from affinor.llm.language import identify_all
 from affinor.llm.mixing import mix
 from affinor.llm.sharding import shard_documents
 from affinor.llm.token_index import token_index
+from affinor.llm.toxicity import toxicity
 from affinor.session import scratch_path
 
 QUERIES, ORACLES = {}, {}
@@ -28,6 +33,11 @@ def op1_sharding(spark, sf_dir):
                          "virtual_slot", "map_version")
 
 
+@query
+def op2_decontamination(spark, sf_dir):
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
 @query
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
@@ -38,11 +48,31 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM d WINDOW w AS (PARTITION BY text_sha256)"""
 
 
+@query
+def op4_html_text(spark, sf_dir):
+    return extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op5_language(spark, sf_dir):
+    return identify_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_jaccard_join(spark, sf_dir):
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op9_token_index(spark, sf_dir):
     return token_index(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
