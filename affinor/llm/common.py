@@ -1,9 +1,15 @@
 """Helpers shared by the operators of this subpackage."""
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable
+from types import ModuleType
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BROADCAST_ROWS = 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -20,3 +26,17 @@ def ascii_lower(c: Column) -> Column:
 def unit_hash(*cols: str) -> Column:
     """A number in [0, 1) that depends on the values alone."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(1 << 53))
+
+
+def few_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a narrow table whose counted rows are few; a larger one is joined by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def per_worker(name: str, make: Callable[[], Any]) -> Any:
+    """One object per Python worker, which Spark reuses for task after task: for caches of a bounded size whose content has no say in
+    results."""
+    kept = sys.modules.setdefault("_affinor_worker", ModuleType("_affinor_worker")).__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]

@@ -13,71 +13,138 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from affinor.llm.common import per_worker
 from affinor.session import cut_lineage, scratch_path
 
 END_ID = 1
 BLOCK_TOKENS = 4_000_000
 CHUNK = 1 << 16  # bytes of a plane
-CACHE = 1_000_000  # pieces whose ids a task remembers
+CACHE = 600_000  # pieces whose ids a task remembers
 MAGIC = b"WMX1"
 BLOCK_SCHEMA = "part int, block int, n_docs long, n_tokens long, container binary"
 
 
+class Pieces(dict):
+    """Numbers of pieces; a piece seen for the first time gets the next one and is kept in `new`."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        self.new.append(piece)
+        return n
+
+
 class Encoder:
     """The library's tokenizer over whole texts, a piece at a time. The vocabulary's pre-tokenizer never joins across a space or a
-    line feed, so a text's ids are the ids of its pieces in turn; each distinct piece is encoded once and remembered."""
+    line feed, so a text's ids are the ids of its pieces in turn; each distinct piece is encoded once and remembered.
+
+    A piece of Latin-1 letters alone, lower-cased, is one pre-token and in normal form already. Such words go to the library's model
+    with only a split at spaces in front of it; a full stop or comma after one is a pre-token of its own."""
 
     def __init__(self, path: str, end_id: int = END_ID):
         from tokenizers import Tokenizer
-        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
+        self.tokenizer, self.words, self.end_id = Tokenizer.from_file(path), Tokenizer.from_file(path), end_id
+        self.words.normalizer, self.words.pre_tokenizer = None, WhitespaceSplit()
+        vocabulary = self.words.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.marks = {c: self._whole([c])[0] for c in ".,"}
+        split = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.byte = {i: split.pre_tokenize_str(chr(i))[0][0][-1] for i in range(0x80, 0xC0)} | {i: split.pre_tokenize_str(chr(i - 0xC3 + 3 << 6))[0][0][0] for i in (0xC2, 0xC3)}
         self._forget()
 
     def _forget(self) -> None:
-        self.codes: dict = {None: 0}
-        self.ids, self.lengths = np.array([self.end_id], np.uint32), np.ones(1, np.int64)
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts in turn, each with the end id, and the number of ids per text."""
+        self.codes = Pieces()
+        self.ids, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.stems: dict[str, list[int]] = {}
+
+    def _whole(self, pieces: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _stem(self, piece: str) -> tuple[str, str]:
+        """The word the model is asked for and the mark after it; no word if the piece needs the whole tokenizer."""
+        mark = piece[-1:] if piece[-1:] in self.marks else ""
+        word = piece[:len(piece) - len(mark)]
+        if not word.isalpha() or max(word) > "\xff":
+            return "", ""
+        word = word.lower()
+        return (word if word.isascii() else word.encode().decode("latin-1").translate(self.byte)), mark
+
+    def _learn(self) -> None:
+        stems = [self._stem(p) for p in self.codes.new]
+        ask = sorted({w for w, _ in stems if w and w not in self.stems})
+        for i in range(0, len(ask), 1000):
+            some = ask[i:i + 1000]
+            ids = self.words.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
+            at = 0
+            for w, z in zip(some, (np.flatnonzero(self.ends[ids]) + 1).tolist(), strict=True):
+                self.stems[w], at = ids[at:z], z
+        rest = [p for p, (w, _) in zip(self.codes.new, stems) if not w]
+        whole = dict(zip(rest, (g for i in range(0, len(rest), 1000) for g in self._whole(rest[i:i + 1000]))))
+        got = [self.stems[w] + self.marks[m] if m else self.stems[w] if w else whole[p] for p, (w, m) in zip(self.codes.new, stems)]
+        lengths = np.fromiter(map(len, got), np.int64, len(got))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum()))])
+        self.codes.new = []
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in turn, each with the end id, and the number of ids per text. Only distinct pieces become Python
+        objects."""
         if len(self.codes) > CACHE:
             self._forget()
-        codes, flat, per_text, new = self.codes, [], [], []
-        for t in texts:
-            pieces = (t or "").replace("\n", " ").split(" ")
-            pieces.append(None)
-            for p in set(pieces):
-                if p not in codes:
-                    codes[p] = len(codes)
-                    new.append(p)
-            flat.extend(map(codes.__getitem__, pieces))
-            per_text.append(len(pieces))
-        if new:
-            got = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-            self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, got), np.int64, len(got))])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for g in got for i in g), np.uint32)])
-        starts = np.cumsum(self.lengths) - self.lengths
-        seq = np.array(flat, np.int64)
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        per_text = split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        known = np.fromiter(map(self.codes.__getitem__, distinct), np.int32, len(distinct))
+        if self.codes.new:
+            self._learn()
+        seq = known[coded.indices.to_numpy(zero_copy_only=False)]
         n = self.lengths[seq]
         ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat(starts[seq] - ends + n, n) + np.arange(total)
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per_text)]).astype(np.int64)]
-        return self.ids[at], np.diff(bounds)
+        last = np.cumsum(per_text) - 1  # each text's last piece; the end id takes the place after it
+        n_ids = np.diff(ends[last], prepend=0) + 1
+        at = np.repeat(self.starts[seq] - ends + n, n)
+        at += np.arange(len(at))
+        out = np.full(int(n_ids.sum()), self.end_id, np.uint32)
+        keep = np.ones(len(out), bool)
+        keep[np.cumsum(n_ids) - 1] = False
+        out[keep] = self.ids[at]
+        return out, n_ids
+
+
+def by_bytes(b: pa.RecordBatch, column: int, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about `limit` bytes of text each."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < b.num_rows:
+        done = sizes[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, done + limit, side="right")))
+        yield b.slice(at, end - at)
+        at = end
 
 
 def pack(tokens: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> bytes:
     """The container of one block."""
     press = zstandard.ZstdCompressor(level=1)
-    values, counts = np.unique(tokens, return_counts=True)
-    order = np.lexsort((values, -counts))
-    alphabet = values[order].astype(np.uint32)
-    rank = np.zeros(int(values.max()) + 1 if len(values) else 1, np.uint32)
+    counts = np.bincount(tokens)
+    values = np.flatnonzero(counts)
+    alphabet = values[np.argsort(-counts[values], kind="stable")].astype(np.uint32)
+    rank = np.zeros(len(counts) + 1, np.uint32)
     rank[alphabet] = np.arange(len(alphabet))
     seq = rank[tokens]
     if len(alphabet) <= 1 << 16:
@@ -197,7 +264,7 @@ def write_index(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
     of doc_id; a lost task encodes its range again."""
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        part, enc, block = TaskContext.get().partitionId(), Encoder(tokenizer, end_id), 0
+        part, enc, block = TaskContext.get().partitionId(), per_worker(f"encoder {tokenizer} {end_id}", lambda: Encoder(tokenizer, end_id)), 0
         ids, runs, lengths, held = [], [], [], 0
 
         def close():
@@ -210,9 +277,8 @@ def write_index(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
             return row
 
         for b in batches:
-            for i in range(0, b.num_rows, 64):
-                some = b.slice(i, 64)
-                tokens, n = enc.encode(some.column(1).to_pylist())
+            for some in by_bytes(b, 1):
+                tokens, n = enc.encode(some.column(1))
                 ids += some.column(0).to_pylist()
                 runs.append(tokens.astype(np.uint16) if tokens.max(initial=0) < 1 << 16 else tokens)
                 lengths.append(n)

@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from helpers import SF, docs, rows, table
@@ -117,7 +118,7 @@ def test_pieces_encode_as_the_whole_text():
     rnd, tok = random.Random(11), Tokenizer.from_file(PATH)
     chars = "aB 'stllve\n\t\r12.-ééß中  \x1fΣ<|>"
     texts = ["".join(rnd.choice(chars) for _ in range(rnd.randrange(60))) for _ in range(3000)]
-    ids, n = Encoder(PATH).encode(texts)
+    ids, n = Encoder(PATH).encode(pa.array(texts))
     at = np.cumsum(n) - n
     assert all(ids[a:a + k].tolist() == [*tok.encode(t, add_special_tokens=False).ids, 1] for t, a, k in zip(texts, at, n))
 
