@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from affinor.llm.common import few_or_shuffled
 from affinor.llm.components import components
 from affinor.session import cut_lineage
 
@@ -40,7 +41,6 @@ N = 4
 NUM, DEN = 85, 100  # the similarity bound as a fraction
 FREQUENT = 32  # an entry with so many sets may be left out within the slack
 ROUNDS = 4
-BROADCAST_ROWS = 500_000
 BUCKETS = 1 << 20
 _LOWER = bytes(range(256)).lower()
 _M1, _M2, _P = np.uint64(0xff51afd7ed558ccd), np.uint64(0xc4ceb9fe1a85ec53), np.uint64(0x9e3779b97f4a7c15)
@@ -237,11 +237,6 @@ def near_enough(pairs: DataFrame, prof: DataFrame) -> DataFrame:
     return both.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(run, "a long, b long").distinct()
 
 
-def few_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a table whose counted rows are few; a larger one is joined by shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs that reach the similarity bound, counted on the shingles of the texts. Only texts in some pair are shuffled: a set of
     hashed ids, of fixed size at most, thins out the others where they are read."""

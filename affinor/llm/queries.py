@@ -11,6 +11,7 @@ from affinor.llm.html_text import extract
 from affinor.llm.jaccard_join import jaccard_join
 from affinor.llm.language import identify_all
 from affinor.llm.mixing import mix
+from affinor.llm.pii import replace_personal_data
 from affinor.llm.sharding import shard_documents
 from affinor.llm.token_index import token_index
 from affinor.llm.toxicity import toxicity
@@ -19,6 +20,7 @@ from affinor.session import scratch_path
 QUERIES, ORACLES = {}, {}
 SHARDS = 16
 TOKENIZER = "word_bpe_49k.json"
+KEY = "surrogates of the registered query"  # a parameter: real runs pass a secret
 
 
 def query(fn):
@@ -76,3 +78,8 @@ def op8_toxicity(spark, sf_dir):
 @query
 def op9_token_index(spark, sf_dir):
     return token_index(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+@query
+def op10_personal_data(spark, sf_dir):
+    return replace_personal_data(table(spark, sf_dir, "documents"), KEY)
