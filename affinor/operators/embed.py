@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, PCA
+from pyspark.ml.feature import HashingTF, Normalizer, PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,12 +22,11 @@ def todo(texts: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def hashing_encoder(texts: DataFrame, dim: int = 256) -> DataFrame:
-    """Default encoder: hashed term counts, inverse document frequency, unit length."""
+    """Default encoder: hashed term counts of unit length. A vector depends on its own text alone, so vectors of any two batches lie in
+    one space."""
     words = texts.withColumn("w", F.filter(F.split(F.lower("content"), r"[^\p{L}\p{N}]+"), lambda x: x != ""))
     tf = HashingTF(inputCol="w", outputCol="tf", numFeatures=dim).transform(words)
-    z = IDF(inputCol="tf", outputCol="z").fit(tf).transform(tf)
-    n = Normalizer(inputCol="z", outputCol="u").transform(z)
-    return n.select("key", vector_to_array("u").alias("v"))
+    return Normalizer(inputCol="tf", outputCol="u").transform(tf).select("key", vector_to_array("u").alias("v"))
 
 
 def embed(texts: DataFrame, store: DataFrame, encoder: Callable[[DataFrame], DataFrame] = hashing_encoder) -> tuple[DataFrame, DataFrame]:

@@ -1,14 +1,14 @@
 """Edges and what is read off them: adjacency, degree, level of detail, modularity, geometry, labels, evidence pairs."""
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinor.functions.text import norm_title
+from affinor.operators import vectors as V
 from affinor.operators.ranking import distributed_rank, rnd
 from affinor.operators.topics import class_tfidf, ordered_topics
+from affinor.session import cut_lineage
 
 
 def both_ways(edges: DataFrame, *cols: str) -> DataFrame:
@@ -94,33 +94,27 @@ def cluster_labels(profile: DataFrame, labels: DataFrame, n: int = 5) -> DataFra
 
 
 def closest_item_pairs(edges: DataFrame, items: DataFrame, memberships: DataFrame, n: int = 3) -> DataFrame:
-    """Closest item pairs across the two ends of every edge: items both ends have, and titles found on both sides, are left
-    out, and each title is used once.
-
-    `items` holds at most 30 rows per entity (the items behind its vector), so an edge's group is bounded; the greedy choice
-    runs inside that group."""
-    t = items.select("entity", "item", "v", norm_title(F.col("title")).alias("norm"))
-    a = edges.select("source", "target").join(t.withColumnRenamed("entity", "source"), "source").withColumn("side", F.lit(0))
-    b = edges.select("source", "target").join(t.withColumnRenamed("entity", "target"), "target").withColumn("side", F.lit(1))
-    # an item of both entities may lie outside one side's rows, so the full membership list decides
-    ma = memberships.select(F.col("entity").alias("target"), "item")
-    mb = memberships.select(F.col("entity").alias("source"), "item")
-    rows = a.join(ma, ["target", "item"], "left_anti").unionByName(b.join(mb, ["source", "item"], "left_anti"))
-
-    def pick(p: pd.DataFrame) -> pd.DataFrame:
-        x, y = p[p.side == 0].sort_values("item"), p[p.side == 1].sort_values("item")
-        out, seen = [], set(x.norm) & set(y.norm)
-        if len(x) and len(y):
-            s = np.round(np.stack(x.v.to_numpy()) @ np.stack(y.v.to_numpy()).T, 9)
-            for k in np.argsort(-s, axis=None, kind="stable"):
-                i, j = divmod(int(k), s.shape[1])
-                ta, tb = x.norm.iat[i], y.norm.iat[j]
-                if ta in seen or tb in seen:
-                    continue
-                out.append((p.source.iat[0], p.target.iat[0], len(out) + 1, x.item.iat[i], y.item.iat[j], s[i, j]))
-                seen |= {ta, tb}
-                if len(out) == n:
-                    break
-        return pd.DataFrame(out, columns=["source", "target", "rank", "item_a", "item_b", "sim"])
-    return rows.groupBy("source", "target").applyInPandas(
-        pick, "source long, target long, rank long, item_a long, item_b long, sim double")
+    """Closest item pairs across the two ends of every edge: items both ends have, and titles found on both sides, are left out, and
+    each title is used once.
+
+    In each of `n` rounds the best pair of every edge is one grouped maximum; pairs with either of its titles then leave."""
+    edge = ["source", "target"]
+    t = items.select("entity", "item", "v", F.xxhash64(norm_title(F.col("title"))).alias("norm"))
+    other = memberships.select("entity", "item").distinct()
+
+    def side(end: str, far: str) -> DataFrame:
+        own = edges.select(*edge).join(t.withColumnRenamed("entity", end), end)
+        return own.join(other.withColumnRenamed("entity", far), [far, "item"], "left_anti")
+    a, b = side("source", "target"), side("target", "source")
+    a, b = (x.join(y.select(*edge, "norm").distinct(), [*edge, "norm"], "left_anti") for x, y in ((a, b), (b, a)))
+    b = b.select(*edge, F.col("item").alias("item_b"), F.col("norm").alias("norm_b"), F.col("v").alias("_w"))
+    left = cut_lineage(a.select(*edge, F.col("item").alias("item_a"), F.col("norm").alias("norm_a"), "v").join(b, edge)
+                       .select(*edge, "item_a", "item_b", "norm_a", "norm_b", F.round(V.dot("v", "_w"), 9).alias("sim")))
+    out = None
+    for rank in range(1, n + 1):
+        key = F.struct("sim", (-F.col("item_a")).alias("a"), (-F.col("item_b")).alias("b"), "norm_a", "norm_b")
+        best = cut_lineage(left.groupBy(*edge).agg(F.max(key).alias("k")).select(*edge, F.lit(rank).cast("long").alias("rank"), (-F.col("k.a")).alias("item_a"),
+                                                                               (-F.col("k.b")).alias("item_b"), F.col("k.sim").alias("sim"), F.col("k.norm_a").alias("_x"), F.col("k.norm_b").alias("_y")))
+        out = best if out is None else out.unionByName(best)
+        left = left.join(best.select(*edge, "_x", "_y"), edge).filter((F.col("norm_a") != F.col("_x")) & (F.col("norm_b") != F.col("_y"))).drop("_x", "_y")
+    return out.drop("_x", "_y")

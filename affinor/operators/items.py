@@ -47,9 +47,10 @@ def author_stats(authors: DataFrame) -> DataFrame:
 
 
 def alphabetical(names: str | Column) -> Column:
-    """Three or more author names in sorted order; any nameless author means no."""
+    """Three or more authors in the order of the last token of their names; any author without a token means no."""
     c = F.col(names) if isinstance(names, str) else names
-    return (F.size(c) >= 3) & ~F.exists(c, lambda x: x.isNull() | (x == "")) & (c == F.array_sort(c))
+    last = F.transform(c, lambda x: F.element_at(F.split(F.trim(F.lower(F.coalesce(x, F.lit("")))), r"\s+"), -1))
+    return (F.size(c) >= 3) & ~F.exists(last, lambda x: x == "") & (last == F.array_sort(last))
 
 
 def credit_roles(roles: DataFrame, entity_field: DataFrame, rules: DataFrame, stats: DataFrame) -> DataFrame:
@@ -121,11 +122,17 @@ def newest_titles(m: DataFrame, n: int) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("rank", "title"))), lambda x: x["title"]), " | ").alias("titles"))
 
 
-def coauthor_edges(home: DataFrame, limit: int = 10000) -> DataFrame:
-    """Co-membership edges: one row per pair of entities sharing items, weight = number of shared items.
+def coauthor_items(home: DataFrame, block: int = 1000) -> DataFrame:
+    """(source, target, item): every pair of entities that share an item. Members of an item are dealt into blocks of about `block`
+    and joined block by block, so an item with very many members becomes many tasks; other items have one block."""
+    n = home.groupBy("item").agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
+    m = home.join(n, "item").withColumn("_own", F.pmod(F.xxhash64("entity"), F.col("_n")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    a = m.select("item", F.col("entity").alias("source"), F.col("_own").alias("_a"), every.alias("_b"))
+    b = m.select("item", F.col("entity").alias("target"), every.alias("_a"), F.col("_own").alias("_b"))
+    return a.join(b, ["item", "_a", "_b"]).filter(F.col("source") < F.col("target")).select("source", "target", "item")
 
-    Every pair is part of the result. The self-join is an equi-join on the item (adaptive execution splits a hot item)
-    and the counts are combined in the map tasks."""
-    a = home.select("item", F.col("entity").alias("source"))
-    b = home.select("item", F.col("entity").alias("target"))
-    return a.join(b, "item").filter(F.col("source") < F.col("target"))
+
+def coauthor_edges(home: DataFrame, block: int = 1000) -> DataFrame:
+    """Co-membership edges: one row per pair of entities sharing items, weight = number of shared items, counted in the map tasks."""
+    return coauthor_items(home, block).groupBy("source", "target").agg(F.count("*").alias("weight"))

@@ -27,8 +27,9 @@ VIEWS: dict[str, str] = {
         bool_or(l_returnflag = 'R') AS is_corr, bool_or(l_linestatus = 'O') AS at_home
         FROM lineitem GROUP BY 1, 2""",
     "fx_item_authors": """SELECT item, count(*) AS n_authors,
-        count(*) >= 3 AND list(name ORDER BY pos) = list(name ORDER BY name) AS alphabetical
-        FROM fx_authorships JOIN fx_entities USING (entity) GROUP BY item""",
+        count(*) >= 3 AND list(surname ORDER BY pos) = list(surname ORDER BY surname) AS alphabetical
+        FROM fx_authorships JOIN fx_entities USING (entity) JOIN (VALUES (0, 'ames'), (1, 'boyle'), (2, 'cox'), (3, 'dunn'), (4, 'egan'), (5, 'frey'), (6, 'gale')) s(k, surname)
+          ON s.k = entity % 7 GROUP BY item""",
     "fx_roles": """SELECT item, entity, position, is_corr, at_home FROM (
         SELECT *, CASE WHEN pos = min(pos) OVER (PARTITION BY item) THEN 'first'
                        WHEN pos = max(pos) OVER (PARTITION BY item) THEN 'last' ELSE 'middle' END AS position,

@@ -101,7 +101,9 @@ class Fixtures:
 
     @cached_property
     def author_names(self) -> DataFrame:
-        return self.authorships.join(self.entities.select("entity", "name"), "entity")
+        given = F.get(F.array(*[F.lit(x) for x in ("Zoe", "Amy", "Bob", "Mia", "Cal")]), (F.col("entity") % 5).cast("int"))
+        surname = F.get(F.array(*[F.lit(x) for x in ("Ames", "Boyle", "Cox", "Dunn", "Egan", "Frey", "Gale")]), (F.col("entity") % 7).cast("int"))
+        return self.authorships.join(self.entities.select("entity", F.concat_ws(" ", given, surname).alias("name")), "entity")
 
     @cached_property
     def memberships(self) -> DataFrame:

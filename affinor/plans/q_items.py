@@ -96,23 +96,20 @@ def newest_titles(fx: Fixtures):
     return I.newest_titles(fx.eligible, 12)
 
 
-@query("coauthor_edges", """WITH s AS (SELECT m.item, m.entity FROM fx_home m JOIN fx_items i USING (item) WHERE i.type = '2-HIGH')
-    SELECT a.entity AS source, b.entity AS target, count(*) AS weight, 0::BIGINT AS part,
-    string_agg(a.item::VARCHAR, ',' ORDER BY a.item) AS items
-    FROM s a JOIN s b ON a.item = b.item AND a.entity < b.entity GROUP BY 1, 2""")
+@query("coauthor_edges", """SELECT a.entity AS source, b.entity AS target, count(*) AS weight
+    FROM fx_home a JOIN fx_home b ON a.item = b.item AND a.entity < b.entity GROUP BY 1, 2""")
 def coauthor_edges(fx: Fixtures):
-    from affinor.operators.ranking import chunked_list
-    home = fx.home.join(fx.items.filter(F.col("type") == "2-HIGH").select("item"), "item")
-    pairs = I.coauthor_edges(home)
-    weights = pairs.groupBy("source", "target").agg(F.count("*").alias("weight"))
-    return (chunked_list(pairs, ["source", "target"], F.col("item"), "items", "item").join(weights, ["source", "target"])
-            .withColumn("items", F.array_join("items", ",")))
+    return I.coauthor_edges(fx.home)
 
 
-@query("enrich_left_coalesce", """SELECT i.item, coalesce(n.text, i.tldr) AS tldr FROM fx_items i
-    LEFT JOIN (SELECT doc_id, substr(text, 1, 40) AS text FROM documents WHERE n_chars > 200) n ON n.doc_id = i.item""")
+@query("coauthor_items", """SELECT a.entity AS source, b.entity AS target, a.item FROM fx_home a JOIN fx_home b ON a.item = b.item AND a.entity < b.entity""")
+def coauthor_items(fx: Fixtures):
+    return I.coauthor_items(fx.home.select("item", "entity"))
+
+
+@query("enrich_left_coalesce", "SELECT i.item, coalesce(n.text, i.tldr) AS tldr FROM fx_items i LEFT JOIN documents n ON n.doc_id = i.item")
 def enrich_left_coalesce(fx: Fixtures):
-    new = fx.t("documents").filter("n_chars > 200").select(F.col("doc_id").alias("item"), F.substring("text", 1, 40).alias("new"))
+    new = fx.t("documents").select(F.col("doc_id").alias("item"), F.col("text").alias("new"))
     return fx.items.join(new, "item", "left").select("item", F.coalesce("new", "tldr").alias("tldr"))
 
 

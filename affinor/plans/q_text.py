@@ -98,7 +98,7 @@ def verdict_case(fx: Fixtures):
 
 
 @query("size_bins", """SELECT b.label AS size_bin, count(*) AS entities FROM fx_row_vectors JOIN (VALUES ('5 or fewer', 0, 5), ('6-10', 6, 10), ('11-20', 11, 20),
-    ('21 or more', 21, 1000000)) b(label, lo, hi) ON n_items BETWEEN lo AND hi GROUP BY 1""")
+    ('21 or more', 21, 9223372036854775807)) b(label, lo, hi) ON n_items BETWEEN lo AND hi GROUP BY 1""")
 def size_bins(fx: Fixtures):
     return with_size_bin(fx.row_vectors, "n_items").groupBy("size_bin").agg(F.count("*").alias("entities"))
 
@@ -134,15 +134,14 @@ def page_links(fx: Fixtures):
     return P.links(fx.t("pages")).select("page_id", "link", F.col("pos").cast("long").alias("pos"))
 
 
-@query("script_split", """SELECT doc_id, max(plain) AS plain, max(other) AS other FROM (SELECT doc_id, CASE WHEN regexp_full_match(w, '[\\x00-\\x7F]*') THEN w END AS plain,
-    CASE WHEN NOT regexp_full_match(w, '[\\x00-\\x7F]*') THEN w END AS other FROM (SELECT doc_id, unnest([a, b]) AS w FROM (SELECT doc_id,
-      max(word) FILTER (pos = 0) AS a, max(word) FILTER (pos = 1) AS b FROM fx_words GROUP BY 1))) GROUP BY 1""")
+@query("script_split", """WITH n AS (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN '김철수' WHEN 1 THEN 'Kim, Ann (chair)' END AS other FROM documents),
+    b AS (SELECT doc_id, nullif(trim(regexp_replace(text, '\\s*\\(.*?\\)\\s*', '', 'g')), '') AS a, nullif(trim(regexp_replace(other, '\\s*\\(.*?\\)\\s*', '', 'g')), '') AS b FROM n)
+    SELECT doc_id, coalesce(CASE WHEN regexp_matches(a, '[가-힣]') THEN a END, CASE WHEN regexp_matches(b, '[가-힣]') THEN b END) AS native,
+      length(coalesce(CASE WHEN NOT regexp_matches(a, '[가-힣]') THEN a END, CASE WHEN NOT regexp_matches(b, '[가-힣]') THEN b END)) > 0 AS has_latin FROM b""")
 def script_split(fx: Fixtures):
-    words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
-    d = fx.t("documents").select("doc_id", F.get(words, F.lit(0)).alias("a"), F.get(words, F.lit(1)).alias("b"))
-    is_plain = lambda c: c.rlike(r"^[\x00-\x7F]*$")
-    pick = lambda ok: F.greatest(*[F.when(ok(F.col(c)), F.col(c)) for c in ("a", "b")])
-    return d.select("doc_id", pick(is_plain).alias("plain"), pick(lambda c: ~is_plain(c)).alias("other"))
+    other = F.when(F.col("doc_id") % 3 == 0, "김철수").when(F.col("doc_id") % 3 == 1, "Kim, Ann (chair)")
+    native, latin = N.split_scripts(F.col("text"), other)
+    return fx.t("documents").select("doc_id", native.alias("native"), (F.length(latin) > 0).alias("has_latin"))
 
 
 @query("rows_keyword_excluded", """SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '(?i)\\b(the|und)\\b') OR source = 'src3'""")

@@ -28,12 +28,12 @@ def period_shift(fx: Fixtures):
 
 @query("shift_pvalue")
 def shift_pvalue(fx: Fixtures):
-    return D.permutation_test(kept(fx), 2000).select("entity", rnd("shift").alias("shift"), rnd("p_value", 4).alias("p_value"))
+    return D.permutation_test(kept(fx)).select("entity", rnd("shift").alias("shift"), rnd("p_value", 4).alias("p_value"))
 
 
 SMALL = """pool AS (SELECT entity, item, period = 'early' AS first, v, count(*) OVER (PARTITION BY entity) AS n, count(*) FILTER (period = 'early') OVER (PARTITION BY entity) AS k FROM fx_kept_core),
-    draw AS (SELECT b, p.*, row_number() OVER (PARTITION BY entity, b ORDER BY (item * 7919 + b * 104729) % 1000003, item) <= k AS pick FROM pool p, range(0, 40) r(b) WHERE k > 0 AND k < n
-      UNION ALL SELECT -1, *, first FROM pool WHERE k > 0 AND k < n),
+    draw AS (SELECT b, entity, item, first, v, n, k, row_number() OVER (PARTITION BY entity, b ORDER BY u * u % 2147483647 * ((u + 40503) % 2147483647) % 2147483647, item) <= k AS pick FROM (SELECT b, p.*, (item % 2147483647 * 7919 + b * 104729 + entity % 2147483647 * 15485863) % 2147483647 AS u FROM pool p, range(0, 40) r(b)) p WHERE k > 0 AND k < n
+      UNION ALL SELECT -1, entity, item, first, v, n, k, first FROM pool WHERE k > 0 AND k < n),
     dd AS (SELECT b, entity, dim, coalesce(sum(x) FILTER (pick), 0) AS a, coalesce(sum(x) FILTER (NOT pick), 0) AS c FROM (SELECT b, entity, pick, unnest(v) AS x, generate_subscripts(v, 1) AS dim FROM draw) GROUP BY 1, 2, 3),
     dr AS (SELECT b, entity, 1 - sum(a * c) / (sqrt(sum(a * a)) * sqrt(sum(c * c))) AS drift FROM dd GROUP BY 1, 2)"""
 
@@ -41,7 +41,7 @@ SMALL = """pool AS (SELECT entity, item, period = 'early' AS first, v, count(*)
 @query("shift_pvalue_small", f"""WITH {SMALL} SELECT d.entity, round(o.drift, 6) + 0.0 AS shift, round((count(*) FILTER (d.drift >= o.drift - 1e-12) + 1) / 41, 6) + 0.0 AS p_value
     FROM dr d JOIN dr o ON o.entity = d.entity AND o.b = -1 WHERE d.b >= 0 GROUP BY d.entity, o.drift""")
 def shift_pvalue_small(fx: Fixtures):
-    return D.permutation_test(kept(fx), 40, hashed=True).select("entity", rnd("shift").alias("shift"), rnd("p_value").alias("p_value"))
+    return D.permutation_test(kept(fx), 40).select("entity", rnd("shift").alias("shift"), rnd("p_value").alias("p_value"))
 
 
 @query("bh_fdr", """WITH p AS (SELECT vec_id AS entity, ((vec_id * 7919) % 1009 + 1) / 1010 * ((vec_id * 31) % 97 + 1) / 98 * ((vec_id * 17) % 53 + 1) / 54 AS p_value FROM embeddings),
@@ -56,7 +56,7 @@ def bh_fdr(fx: Fixtures):
 @query("trend_status")
 def trend_status(fx: Fixtures):
     judged = fx.places.filter("entity % 17 <> 0").select("entity")  # entities flagged as mixed are not judged
-    return D.trend_status(kept(fx), judged, permutations=1000)
+    return D.trend_status(kept(fx), judged)
 
 
 PLACE = """pq AS (SELECT entity AS id, rv AS v FROM fx_shift),

@@ -41,7 +41,7 @@ class Params:
 PARAMS = Params()
 
 # (label, lowest size, highest size) for the audit tables (fixed values)
-SIZE_BINS = (("5 or fewer", 0, 5), ("6-10", 6, 10), ("11-20", 11, 20), ("21 or more", 21, 1000000))
+SIZE_BINS = (("5 or fewer", 0, 5), ("6-10", 6, 10), ("11-20", 11, 20), ("21 or more", 21, 9223372036854775807))
 
 RULE_SCHEMA = ("field long, min_items int, position_agnostic boolean, alphabetical_counts boolean, "
                "max_authors int, types array<string>")

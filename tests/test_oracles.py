@@ -1,5 +1,6 @@
-"""Registered queries against their SQL oracles. AFFINOR_ALL=1 runs every query."""
+"""Registered queries against their SQL oracles. AFFINOR_QUERIES, a pattern, picks some of them."""
 import os
+import re
 
 import duckdb
 import pytest
@@ -8,11 +9,8 @@ import __spark_entry__ as entry
 from check import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["pub_date_fallback", "membership_flags", "entity_counters", "representatives", "entity_keywords", "topic_shift", "entity_vectors", "vec_topk",
-         "sim_threshold", "medoid_similarity", "name_match_pairs", "name_spellings", "citation_title", "page_links", "facet_filter", "recommend", "bridge",
-         "bh_fdr", "audit_quantize", "search_hits", "dq_schema", "src_json_roundtrip", "src_latest_by_file", "translit_pairs"]
 ORACLES = entry.oracle_sql()
-NAMES = list(ORACLES) if os.environ.get("AFFINOR_ALL") else QUICK
+NAMES = [n for n in ORACLES if re.search(os.environ.get("AFFINOR_QUERIES", "."), n)]
 
 
 @pytest.fixture(scope="session")
