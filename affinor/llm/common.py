@@ -2,11 +2,14 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from types import ModuleType
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 500_000
@@ -33,6 +36,29 @@ def few_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def least_hashed(df: DataFrame, key: str, by: list[str], k: int) -> DataFrame:
+    """The `k` rows of every key with the smallest hash of `by`, all rows of a smaller key. Counts per band of the hash tell the band in
+    which a key's k-th row lies; only rows up to that band are ranked, so a key that holds most rows is not sorted as a whole."""
+    h = df.withColumn("_h", F.shiftrightunsigned(F.xxhash64(*by), 1)).withColumn("_band", F.shiftright("_h", 51))
+    upto = F.sum("_n").over(Window.partitionBy(key).orderBy("_band"))  # at most 4,096 bands of a key
+    edge = (h.groupBy(key, "_band").agg(F.count("*").alias("_n")).withColumn("_before", upto - F.col("_n")).filter(F.col("_before") < k)
+            .groupBy(key).agg(F.max("_band").alias("_edge")))
+    near = h.join(few_or_shuffled(edge), key).filter(F.col("_band") <= F.col("_edge"))
+    return (near.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("_h", *by))).filter(F.col("_r") <= k)
+            .drop("_h", "_band", "_edge", "_r"))
+
+
+def by_bytes(b: pa.RecordBatch, column: int, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about `limit` bytes of text each."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < b.num_rows:
+        done = sizes[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, done + limit, side="right")))
+        yield b.slice(at, end - at)
+        at = end
+
+
 def per_worker(name: str, make: Callable[[], Any]) -> Any:
     """One object per Python worker, which Spark reuses for task after task: for caches of a bounded size whose content has no say in
     results."""

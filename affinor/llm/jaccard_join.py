@@ -8,14 +8,16 @@ one-deletion neighbourhood. With allowances that sum (each plus one) to more tha
 allowance. A cost model chooses how many segments get which allowance, from the number of sets in the bands and their mean
 resemblance, both computed over all sets.
 
-The allowances sum to H + 1 plus a slack, and every set may leave out its most frequent subsets up to the slack: linked sets still
-share the rarest of their common subsets, as both order subsets alike. That keeps passages which many documents share out of the
-index without losing a link.
+An index entry with FREQUENT sets or more is not used: its sets, all crowded, are indexed once more among themselves, under schemes of
+FINER times as many segments. There each set may leave out its most frequent subsets up to the surplus of segments over H + 1:
+linked sets still share the rarest of their common subsets, as both order subsets alike. So a set that differs from the core of a
+crowd in more than H tokens leaves the crowd's entries, and passages which many documents share do not bring them together, without
+a link being lost. Empty subsets count as the most frequent ones in either index.
 
-Sets that share an index entry are not paired with each other. Each proposes the entry's smallest member it shares most entries
-with; proposals are checked by size, by the distance of parity bitmaps (a lower bound of the difference) and then on the texts.
-Links found merge components, and after a few such rounds only entries that still hold several components are left, where every
-pair across components is checked. Pairs within a component cannot change a result.
+Sets that share an entry are not paired with each other. Each proposes the entry's most central member outside its own component;
+proposals are checked by size, by the distance of parity bitmaps (a lower bound of the difference) and then on the texts. Links
+found merge components, and when a round finds none, or after ROUNDS, every pair across components that still share an entry is
+checked, block by block, against both bounds, and what they allow on the texts. Pairs within a component cannot change a result.
 
 Defined cases: a null or blank text has no shingles and links with nothing; a row without an id has no component (null) and links
 nothing; rows that share an id are one node, with the links of all their texts; repeated rows give repeated result rows; an empty table
@@ -33,14 +35,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from affinor.llm.common import few_or_shuffled
+from affinor.llm.common import by_bytes, few_or_shuffled
 from affinor.llm.components import components
 from affinor.session import cut_lineage
 
 N = 4
 NUM, DEN = 85, 100  # the similarity bound as a fraction
-FREQUENT = 32  # an entry with so many sets may be left out within the slack
+FREQUENT = 32  # sets of an entry from which on they are crowded
+FINER = 5
 ROUNDS = 4
+BLOCK = 2000  # members of an entry that are compared at once
 BUCKETS = 1 << 20
 _LOWER = bytes(range(256)).lower()
 _M1, _M2, _P = np.uint64(0xff51afd7ed558ccd), np.uint64(0xc4ceb9fe1a85ec53), np.uint64(0x9e3779b97f4a7c15)
@@ -63,7 +67,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """64-bit tokens of a text's distinct word n-grams, sorted."""
 
-    def __init__(self, n: int = N, remember: int = 1_000_000):
+    def __init__(self, n: int = N, remember: int = 200_000):
         self.n, self.remember, self.seen = n, remember, {}
 
     def tokens(self, text: str | None) -> np.ndarray:
@@ -125,7 +129,7 @@ def profile(docs: DataFrame) -> DataFrame:
     """Size, fingerprint, least token and parity bitmap of every document's set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sh = Shingler()
-        for b in batches:
+        for b in (part for whole in batches for part in by_bytes(whole, 1)):
             n, fp, least, bitmap = [], [], [], []
             for t in b.column(1).to_pylist():
                 x = sh.tokens(t)
@@ -187,8 +191,8 @@ def entries(docs: DataFrame, plan: dict[int, tuple[int, int, int]]) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sh = Shingler()
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                some, parts = b.slice(i, 256), []
+            for some in by_bytes(b, 1, 1_000_000):
+                parts = []
                 for doc, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
                     x = sh.tokens(t)
                     k = int(np.searchsorted(first, len(x), side="right")) - 1
@@ -204,16 +208,33 @@ def entries(docs: DataFrame, plan: dict[int, tuple[int, int, int]]) -> DataFrame
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ENTRY)
 
 
-def shared_entries(all_entries: DataFrame) -> DataFrame:
-    """key, doc_id, n, exact: entries of at least two sets, less the frequent ones a set may leave out."""
-    counted = all_entries.withColumn("c", F.count("*").over(Window.partitionBy("key"))).filter("c > 1")
-    kept = cut_lineage(counted)
-    many = kept.filter((F.col("kind") == 0) & (F.col("c") >= FREQUENT))
-    # rows that share an id share the smaller room, so each of their sets leaves out no more than it may
-    mine = Window.partitionBy("doc_id", "scheme")
-    drop = (many.withColumn("_r", F.row_number().over(mine.orderBy(F.col("c").desc(), "key"))).withColumn("_room", F.min("room").over(mine))
-            .filter("_r <= _room").select("key", "doc_id").distinct())
-    return kept.join(drop, ["key", "doc_id"], "left_anti").select("key", "doc_id", "n", (F.col("kind") < 2).alias("exact")).distinct()
+def finer(plan: dict[int, tuple[int, int, int]]) -> dict[int, tuple[int, int, int]]:
+    """Schemes for crowds: many segments, all with allowance 0; what exceeds H + 1 is slack."""
+    return {k: (FINER * (m + ones - slack), 0, (FINER - 1) * (m + ones - slack)) for k, (m, ones, slack) in plan.items()}
+
+
+def counted(all_entries: DataFrame) -> DataFrame:
+    """Entries of at least two sets, with their number of sets."""
+    return cut_lineage(all_entries.withColumn("c", F.count("*").over(Window.partitionBy("key"))).filter("c > 1"))
+
+
+def shared_entries(docs: DataFrame, plan: dict[int, tuple[int, int, int]]) -> DataFrame:
+    """key, doc_id, n, exact, score: the entries to be searched for links. The score of a document is high if it shares many entries
+    with many others."""
+    cols = ["key", "doc_id", "n", (F.col("kind") < 2).alias("exact"), "c"]
+    coarse = counted(entries(docs, plan))
+    crowd = cut_lineage(coarse.filter(F.col("c") >= FREQUENT).select("doc_id").distinct())
+    out = coarse.filter(F.col("c") < FREQUENT).select(*cols)
+    if not crowd.isEmpty():
+        fine = counted(entries(docs.join(few_or_shuffled(crowd), "doc_id", "left_semi"), finer(plan)))
+        # rows that share an id share the smaller room, so each of their sets leaves out no more than it may
+        mine = Window.partitionBy("doc_id", "scheme")
+        drop = (fine.filter(F.col("c") >= FREQUENT).withColumn("_r", F.row_number().over(mine.orderBy(F.col("c").desc(), "key")))
+                .withColumn("_room", F.min("room").over(mine)).filter("_r <= _room").select("key", "doc_id").distinct())
+        out = out.unionByName(fine.join(drop, ["key", "doc_id"], "left_anti").select(*cols))
+    out = cut_lineage(out.distinct())
+    score = out.groupBy("doc_id").agg(F.sum("c").alias("score"))
+    return out.drop("c").join(score, "doc_id")
 
 
 def near_enough(pairs: DataFrame, prof: DataFrame) -> DataFrame:
@@ -240,6 +261,7 @@ def near_enough(pairs: DataFrame, prof: DataFrame) -> DataFrame:
 def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs that reach the similarity bound, counted on the shingles of the texts. Only texts in some pair are shuffled: a set of
     hashed ids, of fixed size at most, thins out the others where they are read."""
+    pairs = cut_lineage(pairs)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
     buckets = ids.select(F.pmod(F.xxhash64("_id"), F.lit(BUCKETS)).alias("_bucket")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(buckets), F.pmod(F.xxhash64("_id"), F.lit(BUCKETS)) == F.col("_bucket"), "left_semi")
@@ -269,22 +291,68 @@ def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def proposals(shared: DataFrame) -> DataFrame:
-    """At most one pair per document: of the smallest members of the entries it is in, outside its own component, the one it shares
-    most entries with."""
+    """At most one pair per document: of the most central members of the entries it is in, if outside its own component, the one it
+    shares most entries with."""
     w = Window.partitionBy("key")
-    lead = F.min(F.when(F.col("exact"), F.struct("component", "doc_id"))).over(w)
+    lead = F.max(F.when(F.col("exact"), F.struct("score", (-F.col("doc_id")).alias("neg"), "component"))).over(w)
     votes = (shared.withColumn("lead", lead).filter(F.col("lead").isNotNull() & (F.col("lead.component") != F.col("component")))
-             .groupBy("doc_id", F.col("lead.doc_id").alias("to")).agg(F.count("*").alias("v")))
-    best = votes.groupBy("doc_id").agg(F.max(F.struct("v", (-F.col("to")).alias("to"))).alias("m"))
-    return best.select(F.least("doc_id", -F.col("m.to")).alias("a"), F.greatest("doc_id", -F.col("m.to")).alias("b")).distinct()
-
+             .groupBy("doc_id", (-F.col("lead.neg")).alias("to")).agg(F.count("*").alias("v")))
+    best = votes.groupBy("doc_id").agg(F.max(F.struct("v", (-F.col("to")).alias("neg"))).alias("m")).select("doc_id", (-F.col("m.neg")).alias("to"))
+    return best.select(F.least("doc_id", "to").alias("a"), F.greatest("doc_id", "to").alias("b")).distinct()
+
+
+def runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """Groups of sorted rows, across batches."""
+    held = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = t if held is None else pa.concat_tables([held, t])
+        if not t.num_rows:
+            continue
+        key = np.column_stack([t.column(c).to_numpy() for c in by])
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist()]
+        for i, j in zip(cuts, cuts[1:]):
+            yield t.slice(i, j - i)
+        held = t.slice(cuts[-1])
+    if held is not None:
+        yield held
+
+
+def across(shared: DataFrame, prof: DataFrame, block: int = 0) -> DataFrame:
+    """Pairs of an entry's members in different components, as far as sizes and parity bitmaps allow. Members of an entry are dealt
+    into blocks and each pair of blocks is compared in memory of a bounded size, so pairs that the bounds rule out are never rows."""
+    rows = shared.join(prof.select("doc_id", F.col("n").alias("size"), "bitmap"), "doc_id")
+    n = F.ceil(F.count("*").over(Window.partitionBy("key")) / F.lit(block or BLOCK)).cast("int")
+    dealt = rows.withColumn("_n", n).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("_n")).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    dealt = dealt.select("key", F.least("own", "_j").alias("lo"), F.greatest("own", "_j").alias("hi"), "own", "doc_id", "component", "exact", "size", "bitmap")
+    by = ["key", "lo", "hi"]
 
-def across(shared: DataFrame) -> DataFrame:
-    """Every pair of an entry whose members lie in different components."""
-    x, y = shared.alias("x"), shared.alias("y")
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & (F.col("x.exact") | F.col("y.exact"))
-    fits = F.least("x.n", "y.n") * DEN >= F.greatest("x.n", "y.n") * NUM
-    return x.join(y, on & fits).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, by):
+            own, doc, comp, exact, size = (t.column(c).to_numpy() for c in ("own", "doc_id", "component", "exact", "size"))
+            if (comp == comp[0]).all():
+                continue
+            maps = [np.frombuffer(x, np.uint64) for x in t.column("bitmap").to_pylist()]
+            least = min(map(len, maps))
+            bits = np.stack([np.bitwise_xor.reduce(x.reshape(-1, least), axis=0) for x in maps])
+            two = t.column("lo")[0].as_py() != t.column("hi")[0].as_py()
+            a, b = [], []
+            for i in range(len(doc) - 1):
+                j = slice(i + 1, None)
+                ok = (comp[j] != comp[i]) & (exact[j] | exact[i]) & (np.minimum(size[j], size[i]) * DEN >= np.maximum(size[j], size[i]) * NUM)
+                if two:
+                    ok &= own[j] != own[i]
+                at = np.flatnonzero(ok) + i + 1
+                at = at[np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1) <= (DEN - NUM) * (size[at] + size[i]) // (DEN + NUM)]
+                a.extend([doc[i]] * len(at))
+                b.extend(doc[at])
+            if a:
+                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+    return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long").distinct()
+
+
+def links_to_components(links: DataFrame) -> DataFrame:
+    return cut_lineage(components(links).withColumnRenamed("id", "doc_id"))
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
@@ -298,21 +366,28 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     plan = schemes(reps)
     links = links.filter("a <> b")
     distinct_docs = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").join(few_or_shuffled(copies), "doc_id", "left_anti")
-    shared = cut_lineage(shared_entries(entries(distinct_docs, plan)))
-    tested, comp = None, None
-    for turn in range(ROUNDS + 1):
-        label = shared.select("key", "doc_id", "n", "exact") if comp is None else shared.select("key", "doc_id", "n", "exact").join(comp, "doc_id", "left")
-        label = label.withColumn("component", F.col("doc_id") if comp is None else F.coalesce("component", "doc_id"))
+    shared = shared_entries(distinct_docs, plan)
+    tested, comp, turn, last = None, links_to_components(links), 0, False
+    while True:
+        label = shared.drop("component").join(comp, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         w = Window.partitionBy("key")
         mixed = label.withColumn("_lo", F.min("component").over(w)).withColumn("_hi", F.max("component").over(w)).filter("_lo < _hi").drop("_lo", "_hi")
         shared = cut_lineage(mixed)
-        pairs = proposals(shared) if turn < ROUNDS else across(shared)
+        if shared.isEmpty():
+            break
+        last = last or turn == ROUNDS
+        pairs = across(shared, reps) if last else proposals(shared)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut_lineage(pairs)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        new = cut_lineage(linked(cut_lineage(near_enough(pairs, reps)), distinct_docs))
-        links = links.unionByName(new)
-        comp = cut_lineage(components(links).withColumnRenamed("id", "doc_id"))
+        new = cut_lineage(linked(near_enough(pairs, reps), distinct_docs))
+        none = new.isEmpty()
+        if not none:
+            links = links.unionByName(new)
+            comp = links_to_components(links)
+        if last:
+            break
+        last, turn = none, turn + 1  # nothing proposed was linked: check what is left
     return rows.select("doc_id", F.col("n").alias("n_shingles")).join(comp, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

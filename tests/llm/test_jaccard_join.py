@@ -46,9 +46,10 @@ def shape(got):
 
 
 def test_whole_table(spark):
-    want = brute(table("documents"))
-    assert shape(rows(op6_jaccard_join(spark, SF))) == want
-    assert sum(w[0] != w[2] for w in want) > 20
+    sf = SF.replace("sf0.01", "sf0.001")
+    want = brute(table("documents", sf))
+    assert shape(rows(op6_jaccard_join(spark, sf))) == want
+    assert sum(w[0] != w[2] for w in want) > 3
 
 
 def planted(seed, n, edit):
@@ -75,7 +76,8 @@ def planted(seed, n, edit):
 @pytest.mark.parametrize("seed,edit,many", [(1, 0.03, 32), (2, 0.08, 3), (3, 0.02, 2)])
 def test_near_copies_and_shared_passages(spark, monkeypatch, seed, edit, many):
     monkeypatch.setattr(J, "FREQUENT", many)
-    monkeypatch.setattr(J, "ROUNDS", 2)
+    monkeypatch.setattr(J, "ROUNDS", many % 2)
+    monkeypatch.setattr(J, "BLOCK", 7 if many < 32 else 2000)
     data = planted(seed, 300, edit)
     assert shape(rows(J.jaccard_join(docs(spark, data)))) == brute([{"doc_id": d[0], "text": d[1]} for d in data])
 
@@ -112,6 +114,21 @@ def test_entries_of_sets_that_differ_by_at_most_h_meet():
         assert exact
 
 
+def test_finer_entries_meet_within_the_slack():
+    """Leaving out any most frequent subsets up to the slack, by one order, still leaves one in common."""
+    rng = np.random.default_rng(6)
+    for _ in range(100):
+        h = int(rng.integers(1, 10))
+        m, ones, slack = J.finer({0: J.allocate(h, 1e4, 60, 0.3)})[0]
+        x = np.unique(rng.integers(0, 2 ** 63, 60 + h).astype(np.uint64))
+        kept = []
+        for y in (x[:len(x) - h // 2], x[h - h // 2:]):
+            keys, kinds, room = J.segment_entries(y, 1, m, ones, slack)
+            assert set(kinds.tolist()) == {0}
+            kept.append(set(np.sort(keys)[room:].tolist()))
+        assert kept[0] & kept[1]
+
+
 def test_components_of_a_chain_a_star_and_none(spark):
     e = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(300, 300)]
     got = {r["id"]: r["component"] for r in rows(components(spark.createDataFrame(e, "a long, b long")))}
