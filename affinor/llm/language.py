@@ -21,9 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from affinor.llm.common import least_hashed
 from affinor.session import cut_lineage
 
 PER_LANGUAGE = 2000
@@ -48,9 +49,8 @@ def trigrams(text: str | None) -> np.ndarray:
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log probabilities of codes by language, and the least mean log probability of a fitted text. Counts are summed on
     the executors; a table of fixed width reaches the driver."""
-    chosen = (docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", F.lower("lang").alias("l"), F.xxhash64("text").alias("t"))
-              .withColumn("_r", F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("doc_id", "t"), "doc_id"))).filter(F.col("_r") <= per_language)
-              .select("doc_id", "l").distinct())
+    labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", F.lower("lang").alias("l"), F.xxhash64("text").alias("t"))
+    chosen = least_hashed(labelled, "l", ["doc_id", "t"], per_language).select("doc_id", "l").distinct()
     # at most per_language rows of each language
     sample = cut_lineage(docs.select("doc_id", F.lower("lang").alias("l"), "text").join(F.broadcast(chosen), ["doc_id", "l"]).select("l", "text"))
 
