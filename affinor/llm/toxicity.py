@@ -21,9 +21,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from affinor.llm.common import least_hashed
+
 WINDOW = 8  # words
 PER_CLASS = 20_000  # labelled documents of a class that are used at most
 COMMON_BYTES = 60_000
@@ -86,9 +88,7 @@ def labelled(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     """text, toxic and weight of the documents to learn from: not held out, at most `per_class` of each class."""
     truth = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out())
     total = truth.groupBy("toxic").agg(F.count("*").alias("total"))
-    w = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # the filter on row_number leaves `per_class` rows of each map task, so no class meets in one task
-    chosen = truth.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_class)
+    chosen = least_hashed(truth, "toxic", ["doc_id"], per_class)
     chosen = chosen.join(F.broadcast(total), "toxic").select("doc_id", "toxic", F.greatest(F.lit(1.0), F.col("total") / per_class).alias("weight"))
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", "weight")  # at most 2 * per_class rows
 
