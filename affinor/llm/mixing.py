@@ -110,7 +110,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
     edge = (bands.join(base, "sid").filter(F.col("upto") > F.col("need")).groupBy("sid")
             .agg(F.min(F.struct("band", (F.col("upto") - F.col("words")).alias("before"), "need")).alias("e"))
             .select("sid", F.col("e.band").alias("edge"), F.col("e.before").alias("before"), F.col("e.need").alias("need")))
-    cut = rated.join(edge, "sid", "left")
+    cut = rated.join(few_or_shuffled(cut_lineage(edge)), "sid", "left")  # one row per source
     inside = Window.partitionBy("sid").orderBy("k", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     near = (cut.filter(F.col("band") == F.col("edge"))
             .withColumn("run", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
