@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from affinor.llm.common import per_worker
+from affinor.llm.common import by_bytes, per_worker
 from affinor.session import cut_lineage, scratch_path
 
 END_ID = 1
@@ -127,17 +127,6 @@ class Encoder:
         return out, n_ids
 
 
-def by_bytes(b: pa.RecordBatch, column: int, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about `limit` bytes of text each."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < b.num_rows:
-        done = sizes[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(sizes, done + limit, side="right")))
-        yield b.slice(at, end - at)
-        at = end
-
-
 def pack(tokens: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> bytes:
     """The container of one block."""
     press = zstandard.ZstdCompressor(level=1)
@@ -288,7 +277,7 @@ def write_index(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
         if ids:
             yield close()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(encode, BLOCK_SCHEMA).write.option("compression", "none").parquet(path)
 
 
