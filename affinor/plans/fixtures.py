@@ -27,8 +27,9 @@ RULE_ROWS = [
 
 
 def field_mask(fields: str):
-    """Fields as bits of a long, so that two sets are compared with one AND (a few fields in all)."""
-    return F.aggregate(fields, F.lit(0).cast("long"), lambda m, f: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), f.cast("int"))))
+    """Fields as bits of a long, so that two sets are compared with one AND. A field that has no bit is an error."""
+    bit = lambda f: F.when((f >= 0) & (f < 63), F.call_function("shiftleft", F.lit(1).cast("long"), f.cast("int"))).otherwise(F.raise_error(F.lit("fields must be numbered from 0 to 62")).cast("long"))
+    return F.aggregate(fields, F.lit(0).cast("long"), lambda m, f: m.bitwiseOR(bit(f)))
 
 
 MIDDLES = ("Jo", "Min")

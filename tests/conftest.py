@@ -9,7 +9,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 @pytest.fixture(scope="session")
 def spark():
     from affinor.session import build_session
-    s = build_session("tests", "local[8]", 8)
+    s = build_session("tests", "local[8]", 4)
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
