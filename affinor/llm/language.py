@@ -9,8 +9,12 @@ never its own witness.
 The text model is fitted on at most PER_LANGUAGE labelled documents of a language (the smallest by a hash), whole texts. The
 likelihood of a text counts as that of EFFECTIVE trigrams at most, since trigrams are not independent.
 
-A record is rejected if it has no letters, if its text is less likely under its best language than any text that language was fitted on
-by MARGIN a trigram, or if the posterior stays below SURE.
+A record is rejected if it has no letters, if its text is unlikely for its best language, or if the posterior stays below SURE. What is
+unlikely depends on the length: windows of the fitted texts, of every length in LENGTHS and scored without their own text's counts,
+give a low quantile of the mean log probability of a trigram; a text is held against the windows of the greatest length within its
+own, less MARGIN. Where a share of the fitted texts is mislabelled, so that the low quantile is theirs, a bound from the lower quartile
+and the median takes its place; up to a quarter of a language's windows has no say in that. A longer text is never held against less
+than a shorter one.
 
 Defined cases: null or blank texts are rejected; a missing declaration, suffix or host is no evidence; without labelled documents all
 records are rejected; repeated rows are records of their own; an empty table gives an empty result; further columns are ignored.
@@ -31,6 +35,9 @@ PER_LANGUAGE = 2000
 CODES = 1 << 16
 EFFECTIVE = 60
 MARGIN = 1.0  # nats a trigram
+LENGTHS = tuple(1 << i for i in range(11))  # trigrams of a window
+WINDOWS = 4  # of each length from a fitted text
+LOW, SPREADS = 0.05, 4  # the low quantile; at least the lower quartile less so many times its distance from the median
 SURE = 0.5
 STRENGTH = 10.0  # records that a level of the hierarchy counts as in the next one
 _LETTERS = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256)).lower()
@@ -47,8 +54,8 @@ def trigrams(text: str | None) -> np.ndarray:
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, log probabilities of codes by language, and the least mean log probability of a fitted text. Counts are summed on
-    the executors; a table of fixed width reaches the driver."""
+    """Languages, log probabilities of codes by language, and by language and length the least mean log probability of a text. Counts are
+    summed on the executors; a table of fixed width reaches the driver."""
     labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", F.lower("lang").alias("l"), F.xxhash64("text").alias("t"))
     chosen = least_hashed(labelled, "l", ["doc_id", "t"], per_language).select("doc_id", "l").distinct()
     # at most per_language rows of each language
@@ -72,12 +79,27 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str],
         counts[i, own.code.to_numpy()] += own.n.to_numpy()
     table = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 
-    def worst(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    totals = counts.sum(axis=1)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [(lang, float(table[languages.index(lang), c].mean())) for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if len(c := trigrams(t)) >= EFFECTIVE]
-            yield pa.record_batch([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["l", "m"])
-    low = {r.l: r.m for r in sample.mapInArrow(worst, "l string, m double").groupBy("l").agg(F.min("m").alias("m")).collect()} if languages else {}
-    return languages, table, np.array([low.get(lang, -20.0) for lang in languages])
+            got: list[tuple[str, int, float]] = []
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                c, i = trigrams(text), languages.index(lang)
+                own = np.bincount(c, minlength=CODES)
+                upto = np.concatenate([[0.0], np.cumsum(np.log((counts[i, c] - own[c]) / (totals[i] - len(c))))])
+                for j, n in enumerate(LENGTHS):
+                    for at in {int(x) for x in np.linspace(0, len(c) - n, WINDOWS)} if len(c) >= n else ():
+                        got.append((lang, j, (upto[at + n] - upto[at]) / n))
+            yield pa.record_batch([pa.array([g[k] for g in got], t) for k, t in enumerate((pa.string(), pa.int32(), pa.float64()))], names=["l", "j", "m"])
+
+    floor = np.full((len(languages), len(LENGTHS)), np.nan)
+    if languages:
+        quantiles = sample.filter(F.col("l").isin(languages)).mapInArrow(windows, "l string, j int, m double").groupBy("l", "j").agg(F.percentile("m", [LOW, 0.25, 0.5]).alias("q"))
+        for r in quantiles.collect():  # at most a row per language and length
+            low, quarter, half = r.q
+            floor[languages.index(r.l), r.j] = max(low, quarter - SPREADS * (half - quarter)) - MARGIN
+    return languages, table, np.fmax.accumulate(floor, axis=1)  # few or no fitted texts may be as long as the greatest lengths
 
 
 def text_evidence(records: DataFrame, table: np.ndarray, keep: list[str]) -> DataFrame:
@@ -158,8 +180,10 @@ def identify(records: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]
     log = F.zip_with(F.zip_with("log_text", F.transform("_prior", lambda x: F.log(x)), lambda a, b: a + b), F.zip_with("_declared", "_suffix", lambda a, b: a + b), lambda a, b: a + b)
     j = j.withColumn("posterior", normal(log)).withColumn("confidence", F.array_max("posterior"))
     best = F.array_position("posterior", F.col("confidence")).cast("int")
-    j = j.withColumn("_floor", F.element_at(F.array(*[F.lit(float(x) - MARGIN) for x in floor]), best)).withColumn("_mean", F.element_at("mean", best))
-    rejected = (F.col("n_grams") == 0) | (F.col("confidence") < SURE) | ((F.col("n_grams") >= EFFECTIVE) & (F.col("_mean") < F.col("_floor")))
+    floors = F.element_at(F.array(*[F.array(*[F.lit(float(x)) for x in by_length]) for by_length in floor]), best)
+    length = F.least(F.length(F.bin("n_grams")), F.lit(len(LENGTHS)))  # lengths are powers of two
+    j = j.withColumn("_floor", F.element_at(floors, length)).withColumn("_mean", F.element_at("mean", best))
+    rejected = (F.col("n_grams") == 0) | (F.col("confidence") < SURE) | (F.col("_mean") < F.col("_floor"))
     return j.withColumn("rejected", rejected).select(
         *ids, F.when(~F.col("rejected"), F.element_at(names, best)).alias("language"), "confidence", "rejected",
         F.when(F.col("n_grams") > 0, F.element_at(names, F.array_position("p", F.array_max("p")).cast("int"))).alias("text_language"), "declared", "host", "posterior")

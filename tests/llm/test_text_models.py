@@ -69,6 +69,20 @@ def test_language_awkward_rows(spark):
     assert {r["rejected"] for r in rows(L.identify(L.document_records(docs(spark, data)), L.train(docs(spark, [])), ["doc_id"]))} == {True}
 
 
+def test_texts_of_an_unlabelled_language_are_rejected_at_every_length(spark):
+    """Also if one training row of each language is of an unlabelled one. One of these shares half its letters with each labelled one."""
+    rnd = random.Random(11)
+    words = {l: ["".join(rnd.choice(s) for _ in range(rnd.randrange(3, 7))) for _ in range(80)] for l, s in {"xx": "abcdefgh", "yy": "ijklmnop", "zz": "efghijkl", "ru": "абвгдежз"}.items()}
+    text = lambda l, n: " ".join(rnd.choice(words[l]) for _ in range(n))
+    train = [(i, text(l, rnd.choice([5, 20, 100, 400])), l, "h", 0) for i, l in enumerate(["xx", "yy"] * 40)]
+    train += [(100 + i, text(o, 60), l, "h", 0) for i, (l, o) in enumerate([("xx", "zz"), ("yy", "ru")])]
+    asked = [(l, n, text(l, n)) for l in ("xx", "yy", "zz", "ru") for n in (2, 5, 12, 60, 1000) for _ in range(5)]
+    model = L.train(docs(spark, train, clash=False))
+    got = {r["doc_id"]: r for r in rows(L.identify(L.document_records(docs(spark, [(i, a[2], None, None, 0) for i, a in enumerate(asked)])), model, ["doc_id"]))}
+    for i, (l, n, _) in enumerate(asked):
+        assert got[i]["language"] == (l if l in ("xx", "yy") else None), (l, n)
+
+
 def test_page_records(spark):
     p = [(1, "https://u:p@www.Shop.example.de:80/x?y", '<html class=a lang="DE-at"><style>p{}</style><p>Guten Tag</p>'), (2, None, None), (3, "nonsense", "<p>x"), (4, "http://localhost/", "<HTML LANG=fr>")]
     got = {r["page_id"]: r for r in rows(L.page_records(spark.createDataFrame(p, "page_id long, url string, html string")))}
