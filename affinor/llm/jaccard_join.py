@@ -49,7 +49,7 @@ BUCKETS = 1 << 20
 _LOWER = bytes(range(256)).lower()
 _M1, _M2, _P = np.uint64(0xff51afd7ed558ccd), np.uint64(0xc4ceb9fe1a85ec53), np.uint64(0x9e3779b97f4a7c15)
 PROFILE = "doc_id long, n long, fp binary, least long, bitmap binary"
-ENTRY = "key long, doc_id long, n int, scheme short, kind byte, room short"
+ENTRY = "key long, doc_id long, n int, scheme short, kind byte, room int"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -203,7 +203,7 @@ def entries(docs: DataFrame, plan: dict[int, tuple[int, int, int]]) -> DataFrame
                 if parts:
                     sizes = [len(p[0]) for p in parts]
                     yield pa.record_batch([pa.array(np.concatenate([p[0] for p in parts])), *(pa.array(np.repeat(np.array([p[j] for p in parts], t), sizes)) for j, t in ((1, np.int64), (2, np.int32), (3, np.int16))),
-                                           pa.array(np.concatenate([p[4] for p in parts])), pa.array(np.repeat(np.array([p[5] for p in parts], np.int16), sizes))],
+                                           pa.array(np.concatenate([p[4] for p in parts])), pa.array(np.repeat(np.array([p[5] for p in parts], np.int32), sizes))],
                                           names=["key", "doc_id", "n", "scheme", "kind", "room"])
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ENTRY)
 

@@ -134,3 +134,17 @@ def test_components_of_a_chain_a_star_and_none(spark):
     got = {r["id"]: r["component"] for r in rows(components(spark.createDataFrame(e, "a long, b long")))}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
     assert rows(components(spark.createDataFrame([], "a long, b long"))) == []
+
+
+def test_entries_of_a_very_long_text_in_a_crowd(spark):
+    """A set of 100,000 tokens has more slack left in the finer index than 16 bits hold."""
+    n = 100_000
+    long = " ".join(f"w{i}" for i in range(n + J.N - 1))
+    first = np.array(J.bands(10 ** 12))
+    k = int(np.searchsorted(first, n, side="right")) - 1
+    widest = int(first[k + 1]) - 1
+    plan = J.finer({k: J.allocate(J.most_apart(widest, widest * J.DEN // J.NUM), 100, n, 0.5)})
+    keys, kinds, room = J.segment_entries(J.Shingler().tokens(long), k, *plan[k])
+    assert room > 32767 and len(keys) == len(kinds)
+    got = J.entries(docs(spark, [(1, long, None, None, None)]), plan).select("key", "room").collect()
+    assert {r["room"] for r in got} == {room} and sorted(r["key"] for r in got) == sorted(keys.tolist())
