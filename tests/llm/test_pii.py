@@ -108,3 +108,29 @@ def test_given_names_are_exchanged_one_to_one(key):
     m = pii.given_names(key)
     for names in pii.GIVEN.values():
         assert sorted(m[n] for n in names) == sorted(names) and all(m[n] != n for n in names)
+
+
+def test_names_run_over_all_their_parts(spark):
+    texts = ["Yes, Anna Maria Keller came. Keller left.", "by Anna Meyer-Lopez and Lopez", "by Peter J. Smith, Smith", "by Anna-Lena Keller's side", "Carlos de la Cruz, Peter van der Berg; Berg",
+             "Laura Josephine Brandt: Brandt, Josephine", "Daniel O'Brien and d'Angelo, Marco d'Angelo", "Anna Eva Öß, Eva", "Paul A. B. McDonald", "Anna"]
+    got, kinds = one(spark, texts)
+    leaks = re.compile(r"Anna|Maria|Keller|Meyer|Lopez|Peter|J\.|Smith|Lena|Carlos|Cruz|Berg|Laura|Josephine|Brandt|Daniel|Brien|Angelo|Marco|Eva|Öß|Paul|A\.|B\.|McDonald")
+    for t, g in zip(texts, got):
+        assert len(re.findall(r"\w+", t)) == len(re.findall(r"\w+", g)) and [w for w in re.findall(r"\w+", t) if not w[0].isupper()] == [w for w in re.findall(r"\w+", g) if not w[0].isupper()]
+    assert [k["NAME"] for k in kinds] == [1, 1, 1, 1, 2, 1, 2, 1, 1, 1]
+    for t, g in zip(texts, got):
+        for a, b in zip(re.findall(r"\w+\.?", t), re.findall(r"\w+\.?", g)):
+            assert a != b or not leaks.search(a), (t, g)
+    words = [re.findall(r"\w+", g) for g in got]
+    assert words[0][1] in pii.GIVEN["latin", "f"] and words[0][2] in pii.GIVEN["latin", "f"] and words[0][3] == words[0][5] == words[3][3] and len(words[0][3]) == 6
+    assert words[1][3] == words[1][5] and words[2][3] == words[2][4] and re.fullmatch(r"by \w+ [A-Z]\. \w+, \w+", got[2]) and re.search(r"-\w+ \w+'s side$", got[3])
+    assert words[4][-1] == words[4][-2] and got[4].count("de la") == got[4].count("van der") == 1
+    assert words[5][1:3] == [words[5][4], words[5][3]] and words[7][1] == words[7][3] and re.search(r"[A-Z][a-z][A-Z][a-z]{5}$", got[8])
+
+
+def test_given_names_of_a_table(spark):
+    names = spark.createDataFrame([("Aiko", "latin", "f"), ("Yuki", "latin", "f"), ("Ren", "latin", "m")], "name string, script string, gender string")
+    data = docs(spark, [(1, "Aiko Tanaka and Ren Sato; Tanaka, Anna", None, None, None)])
+    got = rows(pii.replace_personal_data(data, KEY, names))[0]
+    assert got["n_entities"] == 2 and not re.search("Tanaka|Sato", got["text"]) and got["text"].endswith(", Anna") and not got["text"].startswith("Aiko")
+    assert pii.given_lists(names) == {("latin", "f"): ["Aiko", "Yuki", "Ren"]}
