@@ -58,16 +58,26 @@ def title_ratio(a: Column, b: Column) -> Column:
     return F.when(longer == 0, 100.0).otherwise(100.0 * (1 - F.levenshtein(a, b) / longer))
 
 
-def reconcile(published: DataFrame, live: DataFrame, min_ratio: float = 90) -> DataFrame:
-    """Per entity: items compared with a second snapshot on role, identifier, year and title, and the verdict.
+def squeezed(c: Column) -> Column:
+    """Lower-case letters and digits alone, of any script; a missing title is an empty one."""
+    return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]", "")
+
+
+def reconcile(published: DataFrame, live: DataFrame, excluded: DataFrame | None = None, min_ratio: float = 90) -> DataFrame:
+    """Per entity: published items compared with a second snapshot on role, identifier, year and title, the items that only the second
+    one has, and the verdict. Items that were left out on purpose (`excluded`: entity, item) are none of these extra ones.
 
     Both: entity, item, is_last, doi, year, title (one row per entity and item)."""
-    j = published.alias("p").join(live.alias("l"), ["entity", "item"], "left")
-    found = F.col("l.title").isNotNull()
-    ok = (found & F.col("p.doi").eqNullSafe(F.col("l.doi")) & (F.col("p.year") == F.col("l.year")) & (F.col("p.is_last") == F.col("l.is_last"))
-          & (title_ratio(F.col("p.title"), F.col("l.title")) >= min_ratio))
-    g = j.groupBy("entity").agg(F.count("*").alias("items"), F.count_if(ok).alias("good"), F.count_if(~found).alias("missing"))
-    return g.withColumn("verdict", F.when(F.col("good") == F.col("items"), "ok").when(F.col("good") > 0, "partial").otherwise("fail"))
+    p, l = published.withColumn("_p", F.lit(True)), live.withColumn("_l", F.lit(True))
+    if excluded is not None:
+        aside = excluded.select("entity", "item").join(published, ["entity", "item"], "left_anti")
+        l = l.join(aside, ["entity", "item"], "left_anti")
+    j = p.alias("p").join(l.alias("l"), ["entity", "item"], "full_outer")
+    here, found = F.col("_p").isNotNull(), F.col("_l").isNotNull()
+    ok = (here & found & F.col("p.doi").eqNullSafe(F.col("l.doi")) & (F.col("p.year") == F.col("l.year")) & (F.col("p.is_last") == F.col("l.is_last"))
+          & (title_ratio(squeezed(F.col("p.title")), squeezed(F.col("l.title"))) >= min_ratio))
+    g = j.groupBy("entity").agg(F.count_if(here).alias("items"), F.count_if(ok).alias("good"), F.count_if(here & ~found).alias("missing"), F.count_if(~here).alias("extra"))
+    return g.withColumn("verdict", F.when((F.col("good") == F.col("items")) & (F.col("extra") == 0), "ok").when(F.col("good") > 0, "partial").otherwise("fail"))
 
 
 def empty_sources(dim: DataFrame, facts: DataFrame, key: str, errors: DataFrame) -> DataFrame:
