@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from codecs import charmap_decode
 from collections.abc import Iterator
 from itertools import chain
 
@@ -38,20 +39,52 @@ class Pieces(dict):
 
     def __init__(self):
         super().__init__()
-        self.new: list[str] = []
+        self.new: list[bytes] = []
 
-    def __missing__(self, piece: str) -> int:
+    def __missing__(self, piece: bytes) -> int:
         self[piece] = n = len(self)
         self.new.append(piece)
         return n
 
 
+BLANK, LETTER, MARK, DIGIT, WHOLE = range(5)
+
+
+def byte_classes() -> np.ndarray:
+    """What a byte of UTF-8 is to the pre-tokenizer. Letters are those of ASCII and Latin-1 (lead 0xC3). A byte of class WHOLE (control
+    characters, the apostrophe of contractions, the bar of added tokens, the signs for times and division, other scripts) leaves its
+    whole word to the tokenizer."""
+    c = np.full(256, WHOLE, np.uint8)
+    c[[0x20, 0x0A]] = BLANK
+    c[0x21:0x7F] = MARK
+    c[0x30:0x3A] = DIGIT
+    for lo, hi in ((0x41, 0x5B), (0x61, 0x7B), (0x80, 0xC0), (0xC3, 0xC4)):
+        c[lo:hi] = LETTER
+    c[[0x27, 0x7C, 0x97, 0xB7]] = WHOLE
+    return c
+
+
+CLASS = byte_classes()
+SMALL = np.arange(256, dtype=np.uint8)
+SMALL[0x41:0x5B] += 0x20
+SMALL[0x80:0x9F] += 0x20  # the second byte of a Latin-1 capital
+LETTERS = bytes(np.flatnonzero(CLASS == LETTER).tolist())
+
+
+def spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All positions of the ranges in turn."""
+    n = ends - starts
+    return np.repeat(starts - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
+
 class Encoder:
     """The library's tokenizer over whole texts, a piece at a time. The vocabulary's pre-tokenizer never joins across a space or a
-    line feed, so a text's ids are the ids of its pieces in turn; each distinct piece is encoded once and remembered.
+    line feed, and within a word of Latin-1 letters, digits and ASCII marks it cuts at each change between these kinds and at every digit. So a
+    text's ids are the ids of its pieces in turn; each distinct piece is encoded once and remembered. Cuts are found on the bytes of all texts
+    at once, and only distinct pieces become Python objects.
 
-    A piece of Latin-1 letters alone, lower-cased, is one pre-token and in normal form already. Such words go to the library's model
-    with only a split at spaces in front of it; a full stop or comma after one is a pre-token of its own."""
+    A piece of letters, lower-cased, is one pre-token in normal form already: it goes to the library's model with only a split at spaces in
+    front of it. All other pieces go to the whole tokenizer, with the case they have in the text."""
 
     def __init__(self, path: str, end_id: int = END_ID):
         from tokenizers import Tokenizer
@@ -61,70 +94,92 @@ class Encoder:
         vocabulary = self.words.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.marks = {c: self._whole([c])[0] for c in ".,"}
         split = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.byte = {i: split.pre_tokenize_str(chr(i))[0][0][-1] for i in range(0x80, 0xC0)} | {i: split.pre_tokenize_str(chr(i - 0xC3 + 3 << 6))[0][0][0] for i in (0xC2, 0xC3)}
+        shown = {i: split.pre_tokenize_str(chr(i))[0][0][-1] for i in range(0x80, 0xC0)} | {0xC3: split.pre_tokenize_str("\xc0")[0][0][0]}
+        self.byte = "".join(shown.get(i, chr(i)) for i in range(256))
         self._forget()
 
     def _forget(self) -> None:
         self.codes = Pieces()
         self.ids, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.stems: dict[str, list[int]] = {}
-
-    def _whole(self, pieces: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _stem(self, piece: str) -> tuple[str, str]:
-        """The word the model is asked for and the mark after it; no word if the piece needs the whole tokenizer."""
-        mark = piece[-1:] if piece[-1:] in self.marks else ""
-        word = piece[:len(piece) - len(mark)]
-        if not word.isalpha() or max(word) > "\xff":
-            return "", ""
-        word = word.lower()
-        return (word if word.isascii() else word.encode().decode("latin-1").translate(self.byte)), mark
 
     def _learn(self) -> None:
-        stems = [self._stem(p) for p in self.codes.new]
-        ask = sorted({w for w, _ in stems if w and w not in self.stems})
-        for i in range(0, len(ask), 1000):
-            some = ask[i:i + 1000]
-            ids = self.words.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
-            at = 0
-            for w, z in zip(some, (np.flatnonzero(self.ends[ids]) + 1).tolist(), strict=True):
-                self.stems[w], at = ids[at:z], z
-        rest = [p for p, (w, _) in zip(self.codes.new, stems) if not w]
-        whole = dict(zip(rest, (g for i in range(0, len(rest), 1000) for g in self._whole(rest[i:i + 1000]))))
-        got = [self.stems[w] + self.marks[m] if m else self.stems[w] if w else whole[p] for p, (w, m) in zip(self.codes.new, stems)]
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        """Ids of the new pieces, kept in the order of their numbers."""
+        new, self.codes.new = self.codes.new, []
+        plain = np.fromiter((not p.translate(None, LETTERS) for p in new), bool, len(new))
+        lengths = np.zeros(len(new), np.int64)
+        at = np.flatnonzero(plain)
+        runs, counts = [], []
+        for i in range(0, len(at), 1000):
+            some = b" ".join([new[k] for k in at[i:i + 1000].tolist()])
+            ids = np.array(self.words.encode_batch_fast([charmap_decode(some, "strict", self.byte)[0]], add_special_tokens=False)[0].ids, np.uint32)
+            runs.append(ids)
+            counts.append(np.diff(np.flatnonzero(self.ends[ids]), prepend=-1))
+        if runs:
+            lengths[at] = np.concatenate(counts)
+        rest = np.flatnonzero(~plain)
+        whole = []
+        for i in range(0, len(rest), 1000):
+            some = [new[k].decode() for k in rest[i:i + 1000].tolist()]
+            whole += [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        lengths[rest] = np.fromiter(map(len, whole), np.int64, len(whole))
+        ends = np.cumsum(lengths)
+        out = np.empty(int(ends[-1]), np.uint32)
+        for pick, ids in ((at, np.concatenate(runs) if runs else []), (rest, np.fromiter(chain.from_iterable(whole), np.uint32))):
+            out[spans(ends[pick] - lengths[pick], ends[pick])] = ids
+        self.starts = np.concatenate([self.starts, len(self.ids) + ends - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum()))])
-        self.codes.new = []
+        self.ids = np.concatenate([self.ids, out])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts in turn, each with the end id, and the number of ids per text. Only distinct pieces become Python
-        objects."""
+        """All ids of the texts in turn, each with the end id, and the number of ids per text."""
         if len(self.codes) > CACHE:
             self._forget()
-        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
-        per_text = split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        coded = split.flatten().dictionary_encode()
+        texts = pc.fill_null(texts, "")
+        _, offsets, data = texts.buffers()
+        bounds = np.frombuffer(offsets, np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+        raw = np.frombuffer(data, np.uint8)[bounds[0]:bounds[-1]] if data is not None else np.zeros(0, np.uint8)
+        bounds -= bounds[0]
+        if not len(raw):
+            return np.full(len(texts), self.end_id, np.uint32), np.ones(len(texts), np.int64)
+        kind, small = CLASS[raw], SMALL[raw]
+        cut = np.empty(len(raw), bool)
+        cut[0] = True
+        np.not_equal(kind[1:], kind[:-1], out=cut[1:])
+        cut |= kind == DIGIT
+        first = bounds[:-1][bounds[:-1] < len(raw)]
+        cut[first] = True
+        odd = np.flatnonzero(kind == WHOLE)
+        if len(odd):  # words left to the tokenizer: no cut inside, their own case
+            edge = kind == BLANK
+            begin = ~edge
+            begin[1:] &= edge[:-1]
+            begin[first] = ~edge[first]
+            word = np.flatnonzero(begin)
+            stop = np.append(word[1:], len(raw))
+            mine = np.searchsorted(word, odd, "right") - 1
+            mine = mine[np.diff(mine, prepend=-1) > 0]
+            body = spans(word[mine], stop[mine])
+            body = body[~edge[body]]
+            small[body] = raw[body]
+            cut[body] = False
+            cut[word[mine]] = True
+        at = np.flatnonzero(cut)
+        ends = np.append(at, len(raw)).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(small)]).dictionary_encode()
+        full = kind[at] != BLANK
         distinct = coded.dictionary.to_pylist()
-        known = np.fromiter(map(self.codes.__getitem__, distinct), np.int32, len(distinct))
+        known = np.fromiter(map(self.codes.__getitem__, distinct), np.int64, len(distinct))  # runs of blanks have no ids and are left out below
         if self.codes.new:
             self._learn()
-        seq = known[coded.indices.to_numpy(zero_copy_only=False)]
+        seq = known[coded.indices.to_numpy(zero_copy_only=False)[full]]
+        per_text = np.diff(np.searchsorted(at[full], bounds))
         n = self.lengths[seq]
         ends = np.cumsum(n)
-        last = np.cumsum(per_text) - 1  # each text's last piece; the end id takes the place after it
-        n_ids = np.diff(ends[last], prepend=0) + 1
-        at = np.repeat(self.starts[seq] - ends + n, n)
-        at += np.arange(len(at))
-        out = np.full(int(n_ids.sum()), self.end_id, np.uint32)
-        keep = np.ones(len(out), bool)
-        keep[np.cumsum(n_ids) - 1] = False
-        out[keep] = self.ids[at]
-        return out, n_ids
+        place = np.repeat((self.starts[seq] - ends + n).astype(np.int32), n)
+        place += np.arange(len(place), dtype=np.int32)
+        total = np.concatenate([[0], ends])[np.cumsum(per_text)]  # ids up to the end of each text
+        return np.insert(self.ids[place], total, self.end_id), np.diff(total, prepend=0) + 1
 
 
 def pack(tokens: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> bytes:
