@@ -11,6 +11,7 @@ from affinor.llm.html_text import extract
 from affinor.llm.jaccard_join import jaccard_join
 from affinor.llm.language import identify_all
 from affinor.llm.mixing import mix
+from affinor.llm.packing import pack_documents
 from affinor.llm.pii import replace_personal_data
 from affinor.llm.sharding import shard_documents
 from affinor.llm.token_index import token_index
@@ -83,3 +84,8 @@ def op9_token_index(spark, sf_dir):
 @query
 def op10_personal_data(spark, sf_dir):
     return replace_personal_data(table(spark, sf_dir, "documents"), KEY)
+
+
+@query
+def op11_best_fit_packing(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)).drop("row")
