@@ -13,6 +13,7 @@ from affinor.llm.language import identify_all
 from affinor.llm.mixing import mix
 from affinor.llm.packing import pack_documents
 from affinor.llm.pii import replace_personal_data
+from affinor.llm.runs import repeat_tails, run_report
 from affinor.llm.sharding import shard_documents
 from affinor.llm.token_index import token_index
 from affinor.llm.toxicity import toxicity
@@ -89,3 +90,30 @@ def op10_personal_data(spark, sf_dir):
 @query
 def op11_best_fit_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)).drop("row")
+
+
+@query
+def op13_periodic_runs(spark, sf_dir):
+    return run_report(repeat_tails(table(spark, sf_dir, "documents")))
+
+
+# Equal words q apart, as islands on each diagonal; an island counts unless one of a divisor of its period spans it. The checksum of the
+# decimal id is spelled out bit by bit (polynomial 0xEDB88320).
+ORACLES["op13_periodic_runs"] = r"""WITH h AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    coalesce(xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda a, b: list_reduce(list_concat([xor(a, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda r, z: xor(r >> 1, 3988292384 * (r & 1)))), 4294967295::BIGINT), 1) AS h FROM documents),
+g AS (SELECT doc_id, w, len(w) AS n, h, h // 10 AS g FROM h),
+a AS (SELECT *, CASE WHEN n > 0 THEN g % n ELSE 0 END AS a FROM g),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+t AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE w END AS w FROM p),
+x AS (SELECT doc_id, unnest(range(n)) AS i, unnest(w) AS word FROM t),
+e AS (SELECT l.doc_id, l.i, r.i - l.i AS q FROM x l JOIN x r ON l.doc_id = r.doc_id AND l.word = r.word AND r.i > l.i),
+k AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e),
+c AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS n FROM k GROUP BY doc_id, q, island HAVING count(*) >= greatest(12 - q, q)),
+r AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.doc_id = c.doc_id AND o.q < c.q AND c.q % o.q = 0 AND o.s <= c.s AND o.s + o.n >= c.s + c.n)),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, s, q) AS place FROM r),
+d AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM r GROUP BY doc_id),
+u AS (SELECT x.doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY i) AS kept FROM x WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = x.doc_id AND x.i >= r.s + r.q AND x.i < r.s + r.n) GROUP BY x.doc_id)
+SELECT t.doc_id, t.n::BIGINT AS n_words, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.n::BIGINT AS length, b.q AS period, (1000 * b.n // b.q)::BIGINT AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, coalesce(n_kept, 0) AS n_kept, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN d USING (doc_id) LEFT JOIN (SELECT * FROM b WHERE place = 1) b USING (doc_id) LEFT JOIN u USING (doc_id)"""
