@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinor.llm.common import by_bytes
+from affinor.llm.common import by_bytes, words_of
 
 LEAST = 12  # words of a run
 GRAM = LEAST // 2
@@ -42,15 +42,6 @@ SPANS = "doc_id long, start long, length long, period long"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """All words of the texts in turn and the number of words of each."""
-    split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-    flat = split.flatten()
-    text = np.repeat(np.arange(len(texts)), split.value_lengths().to_numpy(zero_copy_only=False))
-    some = pc.greater(pc.binary_length(flat), 0)  # blanks at either end leave an empty string
-    return flat.filter(some), np.bincount(text[some.to_numpy(zero_copy_only=False)], minlength=len(texts))
-
-
 def numbered(parts: np.ndarray) -> np.ndarray:
     """Equal numbers for equal values, from 0."""
     return np.unique(parts, return_inverse=True)[1]
