@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinor.llm.fm_index import FMIndex, build
+from affinor.llm.common import map_batches
 from affinor.session import cut_lineage
 
 WINDOW = 13
@@ -65,7 +66,7 @@ def build_index(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
         if texts:
             yield close()
 
-    return cut_lineage(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(index, INDEX_SCHEMA))
+    return cut_lineage(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key")).transform(map_batches, index, INDEX_SCHEMA))
 
 
 def phrase_blocks(benchmark: DataFrame, window: int = WINDOW, phrase_words: int = PHRASE_WORDS) -> Iterator[dict[int, tuple[list, list]]]:
@@ -137,7 +138,7 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, phrase_
                         pa.array([[{"from": a, "to": z} for a, z in spans.get(d, np.zeros((0, 2), int)).tolist()] for d in range(k)], pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))),
                         pa.array([sorted(items.get(d, ())) for d in range(k)], pa.list_(pa.string()))],
                         names=["part", "block", "ord", "doc_id", "text_key", "n_words", "spans", "items"])
-        return index.mapInArrow(hits, HIT_SCHEMA)
+        return index.transform(map_batches, hits, HIT_SCHEMA)
 
     passes = [one_pass(p) for p in phrase_blocks(benchmark, window, phrase_words)] or [one_pass({})]
     if len(passes) == 1:

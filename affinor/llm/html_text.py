@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from affinor.llm.common import map_batches
+
 DEPTH = 150
 PAD = 80  # a column is aligned up to this width
 
@@ -458,4 +460,4 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.record_batch([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.string()),
                                    pa.array([g[0].count("\n") + 1 if g[0] else 0 for g in got], pa.int32()), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.int32())],
                                   names=["page_id", "url", "text", "n_lines", "n_tables", "n_items"])
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "page_id long, url string, text string, n_lines int, n_tables int, n_items int")
+    return pages.select(F.col("page_id").cast("long"), "url", "html").transform(map_batches, run, "page_id long, url string, text string, n_lines int, n_tables int, n_items int")

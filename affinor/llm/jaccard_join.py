@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from affinor.llm.common import by_bytes, few_or_shuffled
+from affinor.llm.common import by_bytes, few_or_shuffled, map_batches
 from affinor.llm.components import components
 from affinor.session import cut_lineage
 
@@ -140,7 +140,7 @@ def profile(docs: DataFrame) -> DataFrame:
                 bitmap.append(np.packbits((np.bincount((x & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes())
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(least, pa.int64()), pa.array(bitmap, pa.binary())],
                                   names=["doc_id", "n", "fp", "least", "bitmap"])
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PROFILE)
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(map_batches, run, PROFILE)
 
 
 def schemes(sets: DataFrame) -> dict[int, tuple[int, int, int, int]]:
@@ -205,7 +205,7 @@ def entries(docs: DataFrame, plan: dict[int, tuple[int, int, int]]) -> DataFrame
                     yield pa.record_batch([pa.array(np.concatenate([p[0] for p in parts])), *(pa.array(np.repeat(np.array([p[j] for p in parts], t), sizes)) for j, t in ((1, np.int64), (2, np.int32), (3, np.int16))),
                                            pa.array(np.concatenate([p[4] for p in parts])), pa.array(np.repeat(np.array([p[5] for p in parts], np.int32), sizes))],
                                           names=["key", "doc_id", "n", "scheme", "kind", "room"])
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ENTRY)
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(map_batches, run, ENTRY)
 
 
 def finer(plan: dict[int, tuple[int, int, int]]) -> dict[int, tuple[int, int, int]]:
@@ -255,7 +255,7 @@ def near_enough(pairs: DataFrame, prof: DataFrame) -> DataFrame:
                     y = y[:len(y) // 2] ^ y[len(y) // 2:]
                 keep.append(int(np.bitwise_count(x ^ y).sum()) <= most_apart(na, nb))
             yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-    return both.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(run, "a long, b long").distinct()
+    return both.select("a", "b", "na", "nb", "ba", "bb").transform(map_batches, run, "a long, b long").distinct()
 
 
 def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -287,7 +287,7 @@ def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 common = len(x & y)
                 keep.append(bool(common) and DEN * common >= NUM * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+    return both.select("a", "b", "ta", "tb").transform(map_batches, run, "a long, b long").distinct()
 
 
 def proposals(shared: DataFrame) -> DataFrame:
@@ -348,7 +348,7 @@ def across(shared: DataFrame, prof: DataFrame, block: int = 0) -> DataFrame:
                 b.extend(doc[at])
             if a:
                 yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-    return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition(*by).sortWithinPartitions(*by).transform(map_batches, run, "a long, b long").distinct()
 
 
 def links_to_components(links: DataFrame) -> DataFrame:

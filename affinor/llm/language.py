@@ -9,12 +9,13 @@ never its own witness.
 The text model is fitted on at most PER_LANGUAGE labelled documents of a language (the smallest by a hash), whole texts. The
 likelihood of a text counts as that of EFFECTIVE trigrams at most, since trigrams are not independent.
 
-A record is rejected if it has no letters, if its text is unlikely for its best language, or if the posterior stays below SURE. What is
-unlikely depends on the length: windows of the fitted texts, of every length in LENGTHS and scored without their own text's counts,
-give a low quantile of the mean log probability of a trigram; a text is held against the windows of the greatest length within its
-own, less MARGIN. Where a share of the fitted texts is mislabelled, so that the low quantile is theirs, a bound from the lower quartile
-and the median takes its place; up to a quarter of a language's windows has no say in that. A longer text is never held against less
-than a shorter one.
+A record is rejected if it has no letters, if most of its text is unlikely for every language, or if the posterior stays below SURE. A
+text is judged by consecutive windows of WINDOW trigrams (the last one takes what is left over; a shorter text is one window): so a passage in a
+second known language, or an unusual one that is not most of the text, has no say. What is unlikely depends on the length: windows of the
+fitted texts, of every length in LENGTHS and scored without their own text's counts, give a low quantile of the mean log probability of a
+trigram; a window is held against those of the greatest length within its own, less MARGIN. Where a share of the fitted texts is mislabelled,
+so that the low quantile is theirs, a bound from the lower quartile and the median takes its place; up to a quarter of a language's windows has
+no say in that. A longer window is never held against less than a shorter one.
 
 Defined cases: null or blank texts are rejected; a missing declaration, suffix or host is no evidence; without labelled documents all
 records are rejected; repeated rows are records of their own; an empty table gives an empty result; further columns are ignored.
@@ -28,15 +29,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinor.llm.common import least_hashed
+from affinor.llm.common import least_hashed, map_batches
 from affinor.session import cut_lineage
 
 PER_LANGUAGE = 2000
 CODES = 1 << 16
 EFFECTIVE = 60
 MARGIN = 1.0  # nats a trigram
-LENGTHS = tuple(1 << i for i in range(11))  # trigrams of a window
+LENGTHS = tuple(1 << i for i in range(8))  # trigrams of a fitted window
 WINDOWS = 4  # of each length from a fitted text
+WINDOW = 64  # trigrams of a judged one
+PIECE = 1 << 16  # trigrams looked up at once, whole windows
+ODD = 0.5  # of the windows of a text
+MOST = 500  # languages of the labels
 LOW, SPREADS = 0.05, 4  # the low quantile; at least the lower quartile less so many times its distance from the median
 SURE = 0.5
 STRENGTH = 10.0  # records that a level of the hierarchy counts as in the next one
@@ -57,6 +62,9 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str],
     """Languages, log probabilities of codes by language, and by language and length the least mean log probability of a text. Counts are
     summed on the executors; a table of fixed width reaches the driver."""
     labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", F.lower("lang").alias("l"), F.xxhash64("text").alias("t"))
+    known = labelled.select("l").distinct().limit(MOST + 1).count()
+    if known > MOST:
+        raise ValueError(f"more than {MOST} labels of languages: the column holds something else")
     chosen = least_hashed(labelled, "l", ["doc_id", "t"], per_language).select("doc_id", "l").distinct()
     # at most per_language rows of each language
     sample = cut_lineage(docs.select("doc_id", F.lower("lang").alias("l"), "text").join(F.broadcast(chosen), ["doc_id", "l"]).select("l", "text"))
@@ -71,7 +79,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str],
             at = np.flatnonzero(n)
             yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["l", "code", "n"])
 
-    rows = sample.mapInArrow(count, "l string, code int, n long").groupBy("l", "code").agg(F.sum("n").alias("n")).toPandas()
+    rows = sample.transform(map_batches, count, "l string, code int, n long").groupBy("l", "code").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(rows.l.unique())
     counts = np.full((len(languages), CODES), 0.1)
     for i, lang in enumerate(languages):
@@ -95,31 +103,44 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str],
 
     floor = np.full((len(languages), len(LENGTHS)), np.nan)
     if languages:
-        quantiles = sample.filter(F.col("l").isin(languages)).mapInArrow(windows, "l string, j int, m double").groupBy("l", "j").agg(F.percentile("m", [LOW, 0.25, 0.5]).alias("q"))
+        quantiles = sample.filter(F.col("l").isin(languages)).transform(map_batches, windows, "l string, j int, m double").groupBy("l", "j").agg(F.percentile("m", [LOW, 0.25, 0.5]).alias("q"))
         for r in quantiles.collect():  # at most a row per language and length
             low, quarter, half = r.q
             floor[languages.index(r.l), r.j] = max(low, quarter - SPREADS * (half - quarter)) - MARGIN
     return languages, table, np.fmax.accumulate(floor, axis=1)  # few or no fitted texts may be as long as the greatest lengths
 
 
-def text_evidence(records: DataFrame, table: np.ndarray, keep: list[str]) -> DataFrame:
-    """`keep`, the number of trigrams and the mean log probability of a trigram by language; texts go no further."""
+def text_evidence(records: DataFrame, table: np.ndarray, floor: np.ndarray, keep: list[str]) -> DataFrame:
+    """`keep`, the number of trigrams, the mean log probability of a trigram by language, and the share of windows that are unlikely for every
+    language; texts go no further."""
     k = len(table)
     by_code = np.ascontiguousarray(table.T)
 
+    def windows_of(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Length and summed log probability by language of each window."""
+        starts = np.arange(max(1, len(c) // WINDOW)) * WINDOW
+        return np.diff(starts, append=len(c)), np.add.reduceat(by_code[c], starts, axis=0, dtype=np.float64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, mean = [], []
+            n, mean, odd = [], [], []
             for t in b.column("text").to_pylist():
                 c = trigrams(t)
                 n.append(len(c))
-                total = np.zeros(k)
-                for i in range(0, len(c), 1 << 16):  # a very long text in pieces
-                    total += by_code[c[i:i + (1 << 16)]].sum(axis=0, dtype=np.float64)
+                total, unlikely, windows = np.zeros(k), 0, 0
+                edges = [*range(0, max(1, len(c) - WINDOW), PIECE), len(c)]  # a very long text in pieces
+                for a, z in zip(edges, edges[1:]) if len(c) else ():
+                    size, sums = windows_of(c[a:z])
+                    least = floor[:, np.minimum(np.log2(size).astype(int), len(LENGTHS) - 1)].T
+                    unlikely += int((sums / size[:, None] < least).all(axis=1).sum())
+                    windows += len(size)
+                    total += sums.sum(axis=0)
                 mean.append((total / max(1, len(c))).tolist())
-            yield pa.record_batch([*(b.column(x) for x in keep), pa.array(n, pa.int64()), pa.array(mean, pa.list_(pa.float64()))], names=[*keep, "n_grams", "mean"])
+                odd.append(unlikely / max(1, windows))
+            yield pa.record_batch([*(b.column(x) for x in keep), pa.array(n, pa.int64()), pa.array(mean, pa.list_(pa.float64())), pa.array(odd, pa.float64())],
+                                  names=[*keep, "n_grams", "mean", "odd"])
     kinds = dict(records.dtypes)
-    return records.select(*keep, "text").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", n_grams long, mean array<double>")
+    return records.select(*keep, "text").transform(map_batches, run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", n_grams long, mean array<double>, odd double")
 
 
 def normal(log: Column) -> Column:
@@ -146,7 +167,7 @@ def identify(records: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]
         return records.select(*ids, F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("confidence"), F.lit(True).alias("rejected"),
                               F.lit(None).cast("string").alias("text_language"), "declared", "host", F.array().cast("array<double>").alias("posterior"))
     k, names = len(languages), F.array(*[F.lit(x) for x in languages])
-    ev = text_evidence(records, table, [*ids, "declared", "suffix", "domain", "host"])
+    ev = text_evidence(records, table, floor, [*ids, "declared", "suffix", "domain", "host"])
     log_text = F.transform("mean", lambda m: m * F.least("n_grams", F.lit(EFFECTIVE)))
     ev = cut_lineage(ev.withColumn("log_text", log_text).withColumn("p", F.when(F.col("n_grams") > 0, normal(F.col("log_text"))).otherwise(F.array(*[F.lit(1.0 / k)] * k))))
     read = ev.filter("n_grams > 0")
@@ -180,10 +201,7 @@ def identify(records: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]
     log = F.zip_with(F.zip_with("log_text", F.transform("_prior", lambda x: F.log(x)), lambda a, b: a + b), F.zip_with("_declared", "_suffix", lambda a, b: a + b), lambda a, b: a + b)
     j = j.withColumn("posterior", normal(log)).withColumn("confidence", F.array_max("posterior"))
     best = F.array_position("posterior", F.col("confidence")).cast("int")
-    floors = F.element_at(F.array(*[F.array(*[F.lit(float(x)) for x in by_length]) for by_length in floor]), best)
-    length = F.least(F.length(F.bin("n_grams")), F.lit(len(LENGTHS)))  # lengths are powers of two
-    j = j.withColumn("_floor", F.element_at(floors, length)).withColumn("_mean", F.element_at("mean", best))
-    rejected = (F.col("n_grams") == 0) | (F.col("confidence") < SURE) | (F.col("_mean") < F.col("_floor"))
+    rejected = (F.col("n_grams") == 0) | (F.col("confidence") < SURE) | (F.col("odd") > ODD)
     return j.withColumn("rejected", rejected).select(
         *ids, F.when(~F.col("rejected"), F.element_at(names, best)).alias("language"), "confidence", "rejected",
         F.when(F.col("n_grams") > 0, F.element_at(names, F.array_position("p", F.array_max("p")).cast("int"))).alias("text_language"), "declared", "host", "posterior")
@@ -208,10 +226,11 @@ def document_records(docs: DataFrame) -> DataFrame:
 def page_records(pages: DataFrame) -> DataFrame:
     """Declared language from the markup; suffix, registered domain and host from the address; the text between tags."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    text = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|template|noscript)\b.*?</\1\s*>|<[^>]*>|&#?\w+;", " ")
+    # what is never closed takes the rest of the page, so no part of it is scanned twice
+    text = F.regexp_replace(html, r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|noscript)\b.*?(?:</\1\s*+>|\z)|<[^<>]*+>|&#?\w++;", " ")
     host = some(F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
-    return pages.select(F.col("page_id").cast("long"), text.alias("text"), primary(F.regexp_extract(html, r"""(?i)<html\b[^>]*?\slang\s*=\s*["']?([A-Za-z-]+)""", 1)).alias("declared"),
-                        some(F.regexp_extract(host, r"\.([^.]+)$", 1)).alias("suffix"), some(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)).alias("domain"), host.alias("host"))
+    return pages.select(F.col("page_id").cast("long"), text.alias("text"), primary(F.regexp_extract(html, r"""(?i)<html\b[^<>]*?\slang\s*=\s*["']?([A-Za-z-]+)""", 1)).alias("declared"),
+                        some(F.regexp_extract(host, r"\.([^.]+)$", 1)).alias("suffix"), F.when(host.contains("."), F.substring_index(host, ".", -2)).alias("domain"), host.alias("host"))
 
 
 def identify_all(docs: DataFrame, pages: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinor.llm.common import by_bytes, per_worker
+from affinor.llm.common import by_bytes, map_batches, per_worker
 from affinor.llm.token_index import END_ID, Encoder
 from affinor.session import scratch_path
 
@@ -93,7 +93,7 @@ def write_pieces(docs: DataFrame, path: str, tokenizer: str, capacity: int = CAP
                                       names=["row", "doc_id", "piece", "start", "length", "ids_crc32", "id_bytes", "ids"])
                 row += len(n)
 
-    docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, PIECES).write.option("compression", "zstd").parquet(path)
+    docs.select(F.col("doc_id").cast("long"), "text").transform(map_batches, encode, PIECES).write.option("compression", "zstd").parquet(path)
 
 
 def place_pieces(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, task_tokens: int = TASK_TOKENS) -> DataFrame:
@@ -131,7 +131,7 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = O
     total = pieces.agg(F.sum("length")).first()[0] or 0
     by = F.xxhash64("row", "piece")
     dealt = pieces.select(*narrow).repartition(max(1, -(-total // task_tokens)), by).sortWithinPartitions(by, "row", "piece")
-    return dealt.mapInArrow(pack, PLACED)
+    return dealt.transform(map_batches, pack, PLACED)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, path: str | None = None, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:

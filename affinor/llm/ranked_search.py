@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from affinor.llm.common import by_bytes, words_of
+from affinor.llm.common import by_bytes, map_batches, words_of
 from affinor.session import cut_lineage, scratch_path
 
 TOP = 50
@@ -100,7 +100,7 @@ def write_index(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> N
         if sum(map(len, ids)):
             yield close()
 
-    docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(index, INDEX).write.option("compression", "zstd").parquet(path)
+    docs.select(F.col("doc_id").cast("long"), "text").transform(map_batches, index, INDEX).write.option("compression", "zstd").parquet(path)
 
 
 def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
@@ -187,7 +187,7 @@ def search_group(blocks: DataFrame, group: list, n: int, total: int, k: int) ->
                 df = np.diff(np.frombuffer(b.column(1)[i].as_py(), np.int64), prepend=0)[place[some].astype(np.int64)]
                 yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(df)], names=["term", "df"])
 
-    counted = blocks.select("terms", "ends").mapInArrow(document_counts, "term int, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    counted = blocks.select("terms", "ends").transform(map_batches, document_counts, "term int, df long").groupBy("term").agg(F.sum("df").alias("df"))
     df = np.zeros(len(vocabulary), np.int64)
     for term, docs in counted.collect():  # at most one row for each term of the group
         df[term] = docs
@@ -201,7 +201,7 @@ def search_group(blocks: DataFrame, group: list, n: int, total: int, k: int) ->
                 for q, docs, scores in search_block(b, queries, terms, weights, n, total, k, least):
                     yield pa.record_batch([pa.array(np.full(len(docs), q, np.int32)), b.doc_ids.take(pa.array(docs)), pa.array(scores)], names=["query", "doc_id", "score"])
 
-        return rows.select("doc_ids", "lengths", "terms", "ends", "docs", "counts").mapInArrow(search, HITS)
+        return rows.select("doc_ids", "lengths", "terms", "ends", "docs", "counts").transform(map_batches, search, HITS)
 
     least = [0] * len(queries)
     seeds = min(SEED_BLOCKS, blocks.count() // SEED_SHARE)
@@ -227,7 +227,7 @@ def search(blocks: DataFrame, items: DataFrame, k: int = TOP, group_terms: int =
                 yield pa.record_batch([some.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts))), words], names=["item_id", "term"])
 
     kind = items.schema["item_id"].dataType.simpleString()
-    terms = items.select("item_id", "text").mapInArrow(split, f"item_id {kind}, term string").distinct()
+    terms = items.select("item_id", "text").transform(map_batches, split, f"item_id {kind}, term string").distinct()
     queries = cut_lineage(terms.groupBy("item_id").agg(F.sort_array(F.collect_list("term")).alias("terms")))  # one text's vocabulary each
     size = queries.agg(F.sum(F.size("terms"))).first()[0] or 0
     n, total = blocks.agg(F.sum("n_docs"), F.sum("n_terms")).first()

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinor.llm.common import by_bytes, words_of
+from affinor.llm.common import by_bytes, map_batches, words_of
 
 LEAST = 12  # words of a run
 GRAM = LEAST // 2
@@ -206,7 +206,7 @@ def run_report(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([ids, pa.array(counts, pa.int64()), pa.array([len(runs.get(t, ())) for t in range(len(ids))], pa.int64()), *longs, pa.array(lines), pa.array(n_kept, pa.int64()), pa.array(digests)],
                                   names=[f.split()[0] for f in RESULT.split(", ")])
 
-    return documents_of(docs).mapInArrow(report, RESULT)
+    return documents_of(docs).transform(map_batches, report, RESULT)
 
 
 def run_spans(docs: DataFrame) -> DataFrame:
@@ -216,7 +216,7 @@ def run_spans(docs: DataFrame) -> DataFrame:
             flat = np.array([(t, *r) for t, its in runs.items() for r in its], np.int64).reshape(-1, 4)
             yield pa.record_batch([ids.take(pa.array(flat[:, 0])), *(pa.array(flat[:, k].copy()) for k in (1, 2, 3))], names=["doc_id", "start", "length", "period"])
 
-    return documents_of(docs).mapInArrow(rows, SPANS)
+    return documents_of(docs).transform(map_batches, rows, SPANS)
 
 
 def collapse_runs(docs: DataFrame) -> DataFrame:
@@ -225,7 +225,7 @@ def collapse_runs(docs: DataFrame) -> DataFrame:
         for ids, words, counts, _, keep in slices(batches):
             yield pa.record_batch([ids, collapsed(words, counts, keep)[0].cast(pa.string())], names=["doc_id", "text"])
 
-    return documents_of(docs).mapInArrow(rows, "doc_id long, text string")
+    return documents_of(docs).transform(map_batches, rows, "doc_id long, text string")
 
 
 def repeat_tails(docs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from affinor.llm.common import by_bytes, per_worker
+from affinor.llm.common import by_bytes, map_batches, per_worker
 from affinor.session import cut_lineage, scratch_path
 
 END_ID = 1
@@ -333,7 +333,7 @@ def write_index(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
             yield close()
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(encode, BLOCK_SCHEMA).write.option("compression", "none").parquet(path)
+    ordered.transform(map_batches, encode, BLOCK_SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def read_index(blocks: DataFrame) -> DataFrame:
@@ -352,7 +352,7 @@ def read_index(blocks: DataFrame) -> DataFrame:
                                        pa.array([part] * k, pa.int32()), pa.array([block] * k, pa.int32())],
                                       names=["doc_id", "at", "n_tokens", "ids_crc32", "part", "block"])
 
-    rows = blocks.select("part", "block", "container").mapInArrow(decode, "doc_id long, at long, n_tokens long, ids_crc32 long, part int, block int")
+    rows = blocks.select("part", "block", "container").transform(map_batches, decode, "doc_id long, at long, n_tokens long, ids_crc32 long, part int, block int")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per shuffle partition
     parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_at"))
     within = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinor.llm.common import least_hashed
+from affinor.llm.common import least_hashed, map_batches
 
 WINDOW = 8  # words
 PER_CLASS = 20_000  # labelled documents of a class that are used at most
@@ -133,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
         s = Scorer(model)
         for b in batches:
             yield pa.record_batch([pa.array([s.features(t) for t in b.column(0).to_pylist()], pa.list_(pa.float64())), b.column(1), b.column(2)], names=["x", "toxic", "weight"])
-    got = rows.select("text", F.col("toxic").cast("int"), "weight").mapInArrow(run, "x array<double>, toxic int, weight double").toPandas()
+    got = rows.select("text", F.col("toxic").cast("int"), "weight").transform(map_batches, run, "x array<double>, toxic int, weight double").toPandas()
     got = got.assign(k=[tuple(x) for x in got.x]).sort_values(["toxic", "k"])  # the order of tasks has no say in the sums
     return calibrate(model, np.array(got.k.tolist()), got.toxic.to_numpy(float), got.weight.to_numpy(float))
 
@@ -145,7 +145,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
         for b in batches:
             yield pa.record_batch([b.column(0), b.column(1), pa.array([s.score(t) if s else 0.0 for t in b.column(2).to_pylist()], pa.float64())],
                                   names=["doc_id", "held_out", "score"])
-    out = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double")
+    out = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").transform(map_batches, run, "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
