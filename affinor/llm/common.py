@@ -37,6 +37,26 @@ def few_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, with more underscores in front where a column has one already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def matching(docs: DataFrame, keys: DataFrame, by: list[Column], how: str) -> DataFrame:
+    """Rows of `docs` with (left_semi) or without (left_anti) a row of `keys` that equals the expressions `by`, nulls included."""
+    names = spare(docs, *(f"_key{i}" for i in range(len(by))))
+    same = F.lit(True)
+    for expression, name in zip(by, names):
+        same &= expression.eqNullSafe(F.col(name))
+    return docs.join(few_or_shuffled(keys.toDF(*names)), same, how)
+
+
 def least_hashed(df: DataFrame, key: str, by: list[str], k: int) -> DataFrame:
     """The `k` rows of every key with the smallest hash of `by`, all rows of a smaller key. Counts per band of the hash tell the band in
     which a key's k-th row lies; only rows up to that band are ranked, so a key that holds most rows is not sorted as a whole."""

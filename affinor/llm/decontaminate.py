@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinor.llm.fm_index import FMIndex, build
-from affinor.llm.common import map_batches
+from affinor.llm.common import map_batches, matching
 from affinor.session import cut_lineage
 
 WINDOW = 13
@@ -140,12 +141,13 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, phrase_
                         names=["part", "block", "ord", "doc_id", "text_key", "n_words", "spans", "items"])
         return index.transform(map_batches, hits, HIT_SCHEMA)
 
-    passes = [one_pass(p) for p in phrase_blocks(benchmark, window, phrase_words)] or [one_pass({})]
-    if len(passes) == 1:
-        return passes[0]
-    all_hits = passes[0]
-    for p in passes[1:]:
-        all_hits = all_hits.unionByName(p)
+    blocks = phrase_blocks(benchmark, window, phrase_words)
+    first, second = next(blocks, {}), next(blocks, None)
+    if second is None:
+        return one_pass(first)
+    all_hits = cut_lineage(one_pass(first))
+    for p in chain([second], blocks):  # one block of phrases at a time is held, here and in the tasks
+        all_hits = all_hits.unionByName(cut_lineage(one_pass(p)))
     together = all_hits.groupBy("part", "block", "ord", "doc_id", "text_key", "n_words").agg(
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     # sorted spans: start a new one, or let the last one reach further
@@ -171,8 +173,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 def drop_contaminated(docs: DataFrame, judged: DataFrame) -> DataFrame:
     """Documents without the contaminated ones, columns unchanged. The verdict follows the text, so rows that share an id but not a
     text are told apart; only the keys of contaminated documents are joined."""
-    bad = judged.filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_anti")
+    bad = cut_lineage(judged.filter("contaminated").select("doc_id", "text_key").distinct())
+    return matching(docs, bad, [F.col("doc_id"), F.xxhash64("text")], "left_anti")
 
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")

@@ -2,7 +2,8 @@
 
 A page is parsed into a tree with the implied tags of HTML (paragraphs, list items, table rows and cells and options that end by
 themselves, content misplaced in tables moved in front of them), and the tree is rendered as a reader would see it: nothing hidden, block
-spacing kept, lists with markers and indentation, table cells in aligned columns, preformatted text as it stands.
+spacing kept, lists with markers and indentation, table cells in aligned columns, preformatted text as it stands. Row spans end with their row
+group and hold the first SPANNED columns; a run of empty columns takes GAP blanks of a line at most: so the output stays in proportion to the page.
 
 Not visible: scripts, styles, templates and the like, the title, comments, elements with `hidden`, `display: none` or `visibility: hidden`
 (unless a descendant turns visible again), the rest of a closed `details`, and a `dialog` that is not open.
@@ -16,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 from unicodedata import east_asian_width
 
 import pyarrow as pa
@@ -26,6 +28,8 @@ from affinor.llm.common import map_batches
 
 DEPTH = 150
 PAD = 80  # a column is aligned up to this width
+GAP = 200  # blanks that a run of empty columns takes in a line at most
+SPANNED = 1000  # columns of a table that row spans can hold
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
@@ -404,12 +408,15 @@ class Renderer:
             if c.tag in ("caption", "script", "style"):
                 self.element(c, flow, pre, visible)
             elif c.tag in ROW_GROUPS and not ("hidden" in c.attrs or NONE.search(c.attrs.get("style", ""))):
-                groups.get(c.tag, groups[""]).extend(x for x in c.children if isinstance(x, Node) and x.tag == "tr")
+                groups.get(c.tag, groups[""]).extend((c, x) for x in c.children if isinstance(x, Node) and x.tag == "tr")
             elif c.tag == "tr":
-                groups[""].append(c)
-        rows = [r for g in groups.values() for r in g if not ("hidden" in r.attrs or NONE.search(r.attrs.get("style", "")))]
+                groups[""].append((None, c))
+        rows = [(g, r) for part in groups.values() for g, r in part if not ("hidden" in r.attrs or NONE.search(r.attrs.get("style", "")))]
+        until = [len(rows)] * len(rows)  # a row span ends with its row group
+        for y in range(len(rows) - 2, -1, -1):
+            until[y] = until[y + 1] if rows[y][0] is rows[y + 1][0] else y + 1
         grid, taken = [], {}
-        for y, r in enumerate(rows):
+        for y, (_, r) in enumerate(rows):
             line, x = {}, 0
             for c in r.children:
                 if not isinstance(c, Node) or c.tag not in ("td", "th"):
@@ -419,8 +426,8 @@ class Renderer:
                 across, down = min(1000, max(1, integer(c.attrs.get("colspan"), 1))), max(1, integer(c.attrs.get("rowspan"), 1))
                 line[x] = (self.cell(c, pre, visible), across, (c.attrs.get("align") or r.attrs.get("align") or "").lower())
                 if down > 1:
-                    for k in range(x, x + across):
-                        taken[k] = y + down
+                    for k in range(x, min(x + across, SPANNED)):
+                        taken[k] = min(y + down, until[y])
                 x += across
             grid.append(line)
         widths: dict[int, int] = {}
@@ -430,19 +437,25 @@ class Renderer:
                     w = min(PAD, max(map(width, text)))
                     widths[x] = max(widths.get(x, 0), w if across == 1 else min(w, 0))
         columns = sorted(widths)
+        place = {x: k for k, x in enumerate(columns)}
+        before = [0, *accumulate(widths[x] for x in columns)]
         flow.block(False)
         for line in grid:
-            height = max((len(t) for t, _, _ in line.values()), default=0)
-            for i in range(height):
-                out, room = [], 0
-                for x in columns:
-                    text, across, align = line.get(x, ((), 1, ""))
-                    s = text[i] if i < len(text) else ""
-                    s, w = s.replace("\xa0", " "), widths[x]
+            cells = [(place[x], *line[x]) for x in sorted(line) if line[x][0]]
+            for i in range(max((len(t) for _, t, _, _ in cells), default=0)):
+                out, room, at = [], 0, 0
+                cells = [c for c in cells if len(c[1]) > i]
+                for k, text, across, align in cells:
+                    if k > at:  # empty columns, less what the text before them took
+                        empty = before[k] - before[at]
+                        out.append(" " * min(GAP, max(0, empty - room) + 2 * (k - at)))
+                        room = max(0, room - empty)
+                    s, w = text[i].replace("\xa0", " "), widths[columns[k]]
                     fill = max(0, w - width(s) - room)
                     room = max(0, room + width(s) - w) if across > 1 or room else 0
-                    out.append(" " * fill + s if align == "right" else " " * (fill // 2) + s + " " * (fill - fill // 2) if align == "center" else s + " " * fill)
-                flow.rows(["  ".join(out).rstrip()])
+                    out.append((" " * fill + s if align == "right" else " " * (fill // 2) + s + " " * (fill - fill // 2) if align == "center" else s + " " * fill) + "  ")
+                    at = k + 1
+                flow.rows(["".join(out).rstrip()])
         flow.block(False)
 
 

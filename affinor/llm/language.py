@@ -9,9 +9,10 @@ never its own witness.
 The text model is fitted on at most PER_LANGUAGE labelled documents of a language (the smallest by a hash), whole texts. The
 likelihood of a text counts as that of EFFECTIVE trigrams at most, since trigrams are not independent.
 
-A record is rejected if it has no letters, if most of its text is unlikely for every language, or if the posterior stays below SURE. A
+A record is rejected if it has no letters, if more than a share ODD of its text is unlikely for every language, or if the posterior stays below SURE. A
 text is judged by consecutive windows of WINDOW trigrams (the last one takes what is left over; a shorter text is one window): so a passage in a
-second known language, or an unusual one that is not most of the text, has no say. What is unlikely depends on the length: windows of the
+second known language, or an unusual one that is not most of the text, has no say. A text that would fall is judged once more without its words with
+a digit or an at sign, which are no prose (keys, addresses). What is unlikely depends on the length: windows of the
 fitted texts, of every length in LENGTHS and scored without their own text's counts, give a low quantile of the mean log probability of a
 trigram; a window is held against those of the greatest length within its own, less MARGIN. Where a share of the fitted texts is mislabelled,
 so that the low quantile is theirs, a bound from the lower quartile and the median takes its place; up to a quarter of a language's windows has
@@ -22,6 +23,7 @@ records are rejected; repeated rows are records of their own; an empty table giv
 """
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,16 +37,17 @@ from affinor.session import cut_lineage
 PER_LANGUAGE = 2000
 CODES = 1 << 16
 EFFECTIVE = 60
-MARGIN = 1.0  # nats a trigram
+MARGIN = 1.25  # nats a trigram
 LENGTHS = tuple(1 << i for i in range(8))  # trigrams of a fitted window
 WINDOWS = 4  # of each length from a fitted text
 WINDOW = 64  # trigrams of a judged one
 PIECE = 1 << 16  # trigrams looked up at once, whole windows
-ODD = 0.5  # of the windows of a text
+ODD = 0.6  # of the windows of a text
 MOST = 500  # languages of the labels
 LOW, SPREADS = 0.05, 4  # the low quantile; at least the lower quartile less so many times its distance from the median
 SURE = 0.5
 STRENGTH = 10.0  # records that a level of the hierarchy counts as in the next one
+NO_PROSE = re.compile("[0-9@]")
 _LETTERS = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256)).lower()
 
 
@@ -116,10 +119,19 @@ def text_evidence(records: DataFrame, table: np.ndarray, floor: np.ndarray, keep
     k = len(table)
     by_code = np.ascontiguousarray(table.T)
 
-    def windows_of(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Length and summed log probability by language of each window."""
-        starts = np.arange(max(1, len(c) // WINDOW)) * WINDOW
-        return np.diff(starts, append=len(c)), np.add.reduceat(by_code[c], starts, axis=0, dtype=np.float64)
+    def judged(c: np.ndarray) -> tuple[np.ndarray, float]:
+        """Mean log probability by language, and the share of windows that are unlikely for all."""
+        sums, unlikely, windows = np.zeros(k), 0, 0
+        edges = [*range(0, max(1, len(c) - WINDOW), PIECE), len(c)]  # a very long text in pieces
+        for a, z in zip(edges, edges[1:]) if len(c) else ():
+            starts = np.arange(max(1, (z - a) // WINDOW)) * WINDOW
+            size = np.diff(starts, append=z - a)
+            each = np.add.reduceat(by_code[c[a:z]], starts, axis=0, dtype=np.float64)
+            least = floor[:, np.minimum(np.log2(size).astype(int), len(LENGTHS) - 1)].T
+            unlikely += int((each / size[:, None] < least).all(axis=1).sum())
+            windows += len(size)
+            sums += each.sum(axis=0)
+        return sums / max(1, len(c)), unlikely / max(1, windows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -127,16 +139,12 @@ def text_evidence(records: DataFrame, table: np.ndarray, floor: np.ndarray, keep
             for t in b.column("text").to_pylist():
                 c = trigrams(t)
                 n.append(len(c))
-                total, unlikely, windows = np.zeros(k), 0, 0
-                edges = [*range(0, max(1, len(c) - WINDOW), PIECE), len(c)]  # a very long text in pieces
-                for a, z in zip(edges, edges[1:]) if len(c) else ():
-                    size, sums = windows_of(c[a:z])
-                    least = floor[:, np.minimum(np.log2(size).astype(int), len(LENGTHS) - 1)].T
-                    unlikely += int((sums / size[:, None] < least).all(axis=1).sum())
-                    windows += len(size)
-                    total += sums.sum(axis=0)
-                mean.append((total / max(1, len(c))).tolist())
-                odd.append(unlikely / max(1, windows))
+                m, share = judged(c)
+                if share > ODD:
+                    prose = trigrams(" ".join(w for w in t.split() if not NO_PROSE.search(w)))
+                    share = judged(prose)[1] if len(prose) else share
+                mean.append(m.tolist())
+                odd.append(share)
             yield pa.record_batch([*(b.column(x) for x in keep), pa.array(n, pa.int64()), pa.array(mean, pa.list_(pa.float64())), pa.array(odd, pa.float64())],
                                   names=[*keep, "n_grams", "mean", "odd"])
     kinds = dict(records.dtypes)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from affinor.llm.common import few_or_shuffled, unit_hash
+from affinor.llm.common import few_or_shuffled, spare, unit_hash
 from affinor.operators.ranking import distributed_rank
 from affinor.session import cut_lineage
 
@@ -124,12 +124,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
 def repeat(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The mix itself: every document as often as it has copies. Rows that share an id share out the copies of that id in text order.
     Copies are broadcast while they are few; beyond that both sides are shuffled by id."""
-    per_id = cut_lineage(mixed.groupBy("doc_id").agg(F.sum("copies").alias("_sum"), F.count("*").alias("_rows")).withColumnRenamed("doc_id", "_k"))
-    joined = docs.join(few_or_shuffled(per_id), F.col("doc_id").eqNullSafe(F.col("_k")))
-    if per_id.filter("_rows > 1").isEmpty():
-        share = F.col("_sum")
+    key, total, rows, copies, copy = spare(docs, "_id", "_sum", "_rows", "_copies", "_copy")
+    per_id = cut_lineage(mixed.groupBy(F.col("doc_id").alias(key)).agg(F.sum("copies").alias(total), F.count("*").alias(rows)))
+    joined = docs.join(few_or_shuffled(per_id), F.col("doc_id").eqNullSafe(F.col(key)))
+    if per_id.filter(F.col(rows) > 1).isEmpty():
+        share = F.col(total)
     else:
         n = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-        share = F.floor(F.col("_sum") * n / F.col("_rows")) - F.floor(F.col("_sum") * (n - 1) / F.col("_rows"))
-    return (joined.withColumn("_copies", share.cast("int")).filter("_copies > 0")
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns))
+        share = F.floor(F.col(total) * n / F.col(rows)) - F.floor(F.col(total) * (n - 1) / F.col(rows))
+    return (joined.withColumn(copies, share.cast("int")).filter(F.col(copies) > 0)
+            .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns))

@@ -43,7 +43,7 @@ CLASSES = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуыэюя",
 HEX = "abcdef"
 
 PATTERNS = {
-    "EMAIL": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "EMAIL": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,126}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "TOKEN": r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,64}(?![0-9A-Za-z])",
     "IBAN": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "CARD": r"(?<![0-9])(?:[0-9]{4}(?<sep>[ -]?)[0-9]{4}\k<sep>[0-9]{4}\k<sep>[0-9]{4}|3[47][0-9]{2}(?<gap>[ -]?)[0-9]{6}\k<gap>[0-9]{5})(?![0-9])",
@@ -53,7 +53,8 @@ PATTERNS = {
 }
 NAME_WORDS = 2
 PARTICLES = "(?:von|vom|van|de|del|della|di|da|dos|do|du|des|la|le|ter|ten|bin|ibn|al|el)(?:[ \u00a0](?:und|zu|der|den|dem|de|la|las|los|het))*+"
-CAPITALISED = r"(?:(?:al|el)-|[dl]['’])?\p{Lu}[\p{L}\p{M}]+(?:[-‑'’]\p{Lu}[\p{L}\p{M}]+)*|\p{Lu}(?:[-‑'’]\p{Lu}[\p{L}\p{M}]+)+"
+# Java repeats a group by recursion unless it may not give anything back, so every repeat here is possessive or bounded
+CAPITALISED = r"(?:(?:al|el)-|[dl]['’])?\p{Lu}[\p{L}\p{M}]++(?:[-‑'’]\p{Lu}[\p{L}\p{M}]++)*+|\p{Lu}(?:[-‑'’]\p{Lu}[\p{L}\p{M}]++)++"
 INITIALS = r"\p{Lu}\.(?:[ \u00a0-]?\p{Lu}\.)*+|\p{Lu}(?=[ \u00a0]\p{Lu}\p{L})"
 WORD = r"[\p{L}\p{M}]+|[^\p{L}\p{M}]+"
 
@@ -61,8 +62,8 @@ WORD = r"[\p{L}\p{M}]+|[^\p{L}\p{M}]+"
 def entity(given: dict[tuple[str, str], list[str]] = GIVEN) -> str:
     """The pattern of every kind of entity, with these given names."""
     known = "(?:" + "|".join(re.escape(n) for n in sorted({n for v in given.values() for n in v}, key=lambda n: (-len(n), n))) + r")(?![\p{L}\p{M}])"
-    gap, more = "[ \u00a0]", r"(?:[-‑]\p{Lu}[\p{L}\p{M}]+)*"
-    name = rf"(?<!\p{{L}}){known}{more}(?:{gap}(?:{known}{more}|{INITIALS}))*(?:{gap}(?:{PARTICLES}{gap})?(?:{CAPITALISED})){{0,{NAME_WORDS}}}(?!\p{{L}})"
+    gap, more = "[ \u00a0]", r"(?:[-‑]\p{Lu}[\p{L}\p{M}]++)*+"
+    name = rf"(?<!\p{{L}}){known}{more}(?:{gap}(?:{known}{more}|{INITIALS})(?!\p{{L}}))*+(?:{gap}(?:{PARTICLES}{gap})?(?:{CAPITALISED})){{0,{NAME_WORDS}}}(?!\p{{L}})"
     return "|".join([*PATTERNS.values(), name])
 
 

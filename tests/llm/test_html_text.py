@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from helpers import SF, rows, table
 
@@ -36,6 +38,14 @@ def test_deep_and_long_pages():
     assert render('<a href="' * 3000)[0] is not None and render("<" * 100000)[0] == "<" * 100000
 
 
+def test_tables_stay_in_proportion():
+    for html, most in (("<table>" + "<tr><td rowspan=99999999>a" * 38000, 10), ("<table>" + "<tr><td>a<td colspan=998><td>b" * 30000, 10), ("<table><tr>" + "<td>x" * 100000 + "<td>" + "<br>c" * 100000, 30)):
+        start = time.time()
+        assert len(render(html)[0]) < most * len(html) and time.time() - start < 20
+    body = "<table><tbody><tr><td rowspan=9>a<td>b<tr><td>c</tbody><tbody><tr><td>d<td>e</tbody></table>"
+    assert render(body)[0].splitlines() == ["a  b", "   c", "d  e"]  # a row span ends with its group
+
+
 def test_whole_table(spark):
     got, want = {r["page_id"]: r for r in rows(op4_html_text(spark, SF))}, table("pages")
     assert len(got) == len(want)

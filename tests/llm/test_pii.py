@@ -55,6 +55,14 @@ def test_names_keep_gender_script_and_reference(spark):
     assert got[9].split()[0] in pii.GIVEN["greek", "f"] and got[9].split()[1].endswith("ου") and got[9] != TEXTS[9]
 
 
+@pytest.mark.parametrize("part", ["Anna ", "Anna-", "Ab-", "b.", "a@", "J. ", "J.-", "A'", "von ", "1.", "12-", "AB12 ", "Keller "])
+def test_long_runs_end_no_executor(spark, part):
+    import time
+    start = time.time()
+    got, _ = one(spark, [lead + part * (200_000 // len(part)) for lead in ("", "Anna ", "Anna Ab", "a@")])
+    assert len(got) == 4 and time.time() - start < 120
+
+
 def test_same_key_same_surrogates_other_key_others(spark):
     a, b, c = one(spark, TEXTS)[0], one(spark, TEXTS)[0], one(spark, TEXTS, "other")[0]
     assert a == b and all(x != y for x, y in list(zip(a, c))[:7])

@@ -55,6 +55,17 @@ def test_pipeline_on_a_table_with_awkward_rows(spark, tmp_path):
     check(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), sf, tmp_path)
 
 
+def test_columns_with_clashing_names_go_through(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    names = ["_id", "_key", "_key0", "_key1", "_k", "_sum", "_rows", "_copies", "_copy", "_place", "text_key", "rejected", "component_id", "copies", "size"]
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    plain_run, wide_run = stages(spark, df, sf, tmp_path / "a"), stages(spark, df.selectExpr("*", *(f"'x' AS {n}" for n in names)), sf, tmp_path / "b")
+    key = lambda d: str(sorted((c, v) for c, v in d.items() if c in COLUMNS or c not in names))
+    for a, b in zip(plain_run[1:-1], wide_run[1:-1]):
+        assert set(names) <= set(b.columns) and Counter(map(key, plain(a))) == Counter(map(key, plain(b)))
+    assert plain_run[-1].count() == wide_run[-1].count()
+
+
 def test_registered_run_and_empty_table(spark, tmp_path):
     import __spark_entry__ as entry
     assert entry.queries()["pipeline"] is P.run and [len(s) for s in P.STAGES] == [2] * 5 and P.ORACLE_SQL is None

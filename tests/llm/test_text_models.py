@@ -90,6 +90,27 @@ def test_page_records(spark):
     assert (got[2]["declared"], got[2]["host"]) == (None, None) and got[3]["host"] is None and (got[4]["declared"], got[4]["suffix"]) == ("fr", None)
 
 
+def test_broken_pages_take_no_long_time(spark):
+    import time
+    start = time.time()
+    pages = [(1, "http://a.b/", "<!--" * 250000), (2, "http://a.b/", "<script>" * 125000), (3, "http://" + "a" * 300000, "<html " * 160000), (4, "x", "<" * 1000000), (5, "x", "</script" * 100000 + " " * 100000),
+             (6, "x", "<p>seen<!-- gone <p>gone"), (7, "x", "<script>gone</script >seen<style>gone")]
+    got = {r["page_id"]: r for r in rows(L.page_records(spark.createDataFrame(pages, "page_id long, url string, html string")))}
+    assert time.time() - start < 20 and not got[1]["text"].strip() and not got[2]["text"].strip()
+    assert got[6]["text"].split() == ["seen"] and got[7]["text"].split() == ["seen"]
+
+
+def test_a_passage_in_another_known_language_stays(spark):
+    """Also an unusual one, as long as it is not most of the text; words with digits are not held against a text."""
+    rnd = random.Random(5)
+    words = {l: ["".join(rnd.choice(s) for _ in range(rnd.randrange(3, 7))) for _ in range(80)] for l, s in {"xx": "abcdefgh", "yy": "ijklmnop", "ru": "абвгдежз"}.items()}
+    text = lambda l, n: " ".join(rnd.choice(words[l]) for _ in range(n))
+    model = L.train(docs(spark, [(i, text(l, 100), l, "h", 0) for i, l in enumerate(["xx", "yy"] * 30)], clash=False))
+    asked = [text("xx", 100) + " " + text("yy", 80), text("xx", 100) + " " + text("ru", 60), text("xx", 12) + " " + "qz9wv7kq5" * 12, text("xx", 40) + " " + text("ru", 200)]
+    got = {r["doc_id"]: r["language"] for r in rows(L.identify(L.document_records(docs(spark, [(i, t, None, None, 0) for i, t in enumerate(asked)])), model, ["doc_id"]))}
+    assert got == {0: "xx", 1: "xx", 2: "xx", 3: None}
+
+
 def test_toxicity_on_held_out_rows(spark):
     truth = {r["doc_id"]: r["toxic"] for r in table("labels", "/root/testdata/sf0.1")}
     got = [r for r in rows(op8_toxicity(spark, "/root/testdata/sf0.1"))]
