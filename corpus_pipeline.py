@@ -10,50 +10,56 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import public_tokenizers  # noqa: E402
-from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+from pyspark.sql import DataFrame, SparkSession, Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from affinor.llm import decontaminate, jaccard_join, language, mixing, token_index  # noqa: E402
-from affinor.llm.common import few_or_shuffled, table  # noqa: E402
+from affinor.llm.common import matching, spare, table  # noqa: E402
 from affinor.session import cut_lineage, scratch_path  # noqa: E402
 
 TOKENIZER = "word_bpe_49k.json"
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is sure. The verdict follows id and text; only the rejected, a small part, are joined."""
+    """Documents whose language is sure. The verdict follows id and text; only the rejected, a small part, are joined. Null texts, and texts
+    without a letter, go; rows that repeat an id and a text stay or go together; further columns are kept."""
     records = language.document_records(docs).withColumn("text_key", F.xxhash64("text"))
     judged = language.identify(records, language.train(docs), ["doc_id", "text_key"])
-    bad = cut_lineage(judged.filter("rejected").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct())
-    return docs.join(few_or_shuffled(bad), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_anti")
+    bad = cut_lineage(judged.filter("rejected").select("doc_id", "text_key").distinct())
+    return matching(docs, bad, [F.col("doc_id"), F.xxhash64("text")], "left_anti")
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every group of linked documents. Rows without an id are in no group; of rows that repeat
-    an id one is kept."""
+    an id one is kept, the first by text. A null or empty text is in no group; further columns are kept."""
     groups = jaccard_join.jaccard_join(docs)
-    gone = cut_lineage(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct())
-    kept = docs.join(few_or_shuffled(gone), F.col("doc_id") == F.col("_id"), "left_anti")
-    again = cut_lineage(groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_id")))
+    gone = cut_lineage(groups.filter("doc_id <> component_id").select("doc_id").distinct())
+    by = [F.col("doc_id")]
+    kept = matching(docs, gone, by, "left_anti")
+    again = cut_lineage(groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
     if again.isEmpty():
         return kept
-    repeated = few_or_shuffled(again)
-    same = F.col("doc_id") == F.col("_id")
-    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").orderBy("doc_id", "text").dropDuplicates(["doc_id"]))
+    place, = spare(docs, "_place")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    one = matching(kept, again, by, "left_semi").withColumn(place, first).filter(F.col(place) == 1).drop(place)
+    return matching(kept, again, by, "left_anti").unionByName(one)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that benchmark items do not contaminate."""
+    """Documents that benchmark items do not contaminate, so null and empty texts too. The verdict follows id and text; further columns are
+    kept."""
     return decontaminate.drop_contaminated(docs, decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as its source's target asks."""
+    """Every document as often as its source's target asks; one without a word is in no mix. Rows without a source are a source of their
+    own; rows that share an id share out its copies in text order; further columns are kept."""
     return mixing.repeat(docs, mixing.mix(docs))
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token shards, and per document what their files say."""
+    """Token shards, and per document what their files say. A null text has the end id alone; repeated rows are written each; further
+    columns are ignored."""
     return token_index.token_index(docs, public_tokenizers.path(TOKENIZER))
 
 
