@@ -1,6 +1,8 @@
 """Helpers shared by the operators of this subpackage."""
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 from collections.abc import Callable, Iterator
 from types import ModuleType
@@ -71,9 +73,24 @@ def least_hashed(df: DataFrame, key: str, by: list[str], k: int) -> DataFrame:
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """`mapInArrow` with batches bounded by bytes, not by rows alone: long texts would fill a worker otherwise. The bound is a setting of the
-    session, since Spark reads it when the plan runs."""
+    session, since Spark reads it when the plan runs. A worker waits idle for its next task, so what a task freed goes back to the system."""
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy, schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where its C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def by_bytes(b: pa.RecordBatch, column: int, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:

@@ -8,8 +8,9 @@ one-deletion neighbourhood. With allowances that sum (each plus one) to more tha
 allowance. A cost model chooses how many segments get which allowance, from the number of sets in the bands and their mean
 resemblance, both computed over all sets.
 
-An index entry with FREQUENT sets or more is not used: its sets, all crowded, are indexed once more among themselves, under schemes of
-FINER times as many segments. There each set may leave out its most frequent subsets up to the surplus of segments over H + 1:
+An index entry with FREQUENT sets or more is not used as it is. First its sets propose links through it (see below), for SETTLING rounds at
+most; where that makes one component of all its sets, nothing is left to find. The sets of the other such entries are crowded and
+are indexed once more among themselves, under schemes of FINER times as many segments. There each set may leave out its most frequent subsets up to the surplus of segments over H + 1:
 linked sets still share the rarest of their common subsets, as both order subsets alike. So a set that differs from the core of a
 crowd in more than H tokens leaves the crowd's entries, and passages which many documents share do not bring them together, without
 a link being lost. Empty subsets count as the most frequent ones in either index.
@@ -44,6 +45,7 @@ NUM, DEN = 85, 100  # the similarity bound as a fraction
 FREQUENT = 32  # sets of an entry from which on they are crowded
 FINER = 5
 ROUNDS = 4
+SETTLING = 3
 BLOCK = 2000  # members of an entry that are compared at once
 BUCKETS = 1 << 20
 _LOWER = bytes(range(256)).lower()
@@ -218,12 +220,39 @@ def counted(all_entries: DataFrame) -> DataFrame:
     return cut_lineage(all_entries.withColumn("c", F.count("*").over(Window.partitionBy("key"))).filter("c > 1"))
 
 
-def shared_entries(docs: DataFrame, plan: dict[int, tuple[int, int, int]]) -> DataFrame:
-    """key, doc_id, n, exact, score: the entries to be searched for links. The score of a document is high if it shares many entries
-    with many others."""
+def scored(shared: DataFrame) -> DataFrame:
+    """The score of a document is high if it shares many entries with many others."""
+    return shared.drop("c").join(shared.groupBy("doc_id").agg(F.sum("c").alias("score")), "doc_id")
+
+
+def unsettled(shared: DataFrame, comp: DataFrame) -> DataFrame:
+    """Entries of sets in several components, with the component of each set."""
+    w = Window.partitionBy("key")
+    label = shared.drop("component").join(comp, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    return cut_lineage(label.withColumn("_lo", F.min("component").over(w)).withColumn("_hi", F.max("component").over(w)).filter("_lo < _hi").drop("_lo", "_hi"))
+
+
+def settle(frequent: DataFrame, docs: DataFrame, reps: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is left of the frequent entries, and the links with those found through them."""
+    left, comp = scored(frequent), links_to_components(links)
+    for turn in range(SETTLING + 1):
+        left = unsettled(left, comp)
+        if turn == SETTLING or left.isEmpty():
+            break
+        new = cut_lineage(linked(near_enough(proposals(left), reps), docs))
+        if new.isEmpty():
+            break
+        links = links.unionByName(new)
+        comp = links_to_components(links)
+    return left, links
+
+
+def shared_entries(docs: DataFrame, plan: dict[int, tuple[int, int, int]], reps: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """key, doc_id, n, exact, score: the entries to be searched for links; and the links known so far."""
     cols = ["key", "doc_id", "n", (F.col("kind") < 2).alias("exact"), "c"]
     coarse = counted(entries(docs, plan))
-    crowd = cut_lineage(coarse.filter(F.col("c") >= FREQUENT).select("doc_id").distinct())
+    frequent, links = settle(coarse.filter(F.col("c") >= FREQUENT).select(*cols), docs, reps, links)
+    crowd = cut_lineage(frequent.select("doc_id").distinct())
     out = coarse.filter(F.col("c") < FREQUENT).select(*cols)
     if not crowd.isEmpty():
         fine = counted(entries(docs.join(few_or_shuffled(crowd), "doc_id", "left_semi"), finer(plan)))
@@ -232,9 +261,7 @@ def shared_entries(docs: DataFrame, plan: dict[int, tuple[int, int, int]]) -> Da
         drop = (fine.filter(F.col("c") >= FREQUENT).withColumn("_r", F.row_number().over(mine.orderBy(F.col("c").desc(), "key")))
                 .withColumn("_room", F.min("room").over(mine)).filter("_r <= _room").select("key", "doc_id").distinct())
         out = out.unionByName(fine.join(drop, ["key", "doc_id"], "left_anti").select(*cols))
-    out = cut_lineage(out.distinct())
-    score = out.groupBy("doc_id").agg(F.sum("c").alias("score"))
-    return out.drop("c").join(score, "doc_id")
+    return scored(cut_lineage(out.distinct())), links
 
 
 def near_enough(pairs: DataFrame, prof: DataFrame) -> DataFrame:
@@ -366,13 +393,10 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     plan = schemes(reps)
     links = links.filter("a <> b")
     distinct_docs = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").join(few_or_shuffled(copies), "doc_id", "left_anti")
-    shared = shared_entries(distinct_docs, plan)
+    shared, links = shared_entries(distinct_docs, plan, reps, links)
     tested, comp, turn, last = None, links_to_components(links), 0, False
     while True:
-        label = shared.drop("component").join(comp, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        w = Window.partitionBy("key")
-        mixed = label.withColumn("_lo", F.min("component").over(w)).withColumn("_hi", F.max("component").over(w)).filter("_lo < _hi").drop("_lo", "_hi")
-        shared = cut_lineage(mixed)
+        shared = unsettled(shared, comp)
         if shared.isEmpty():
             break
         last = last or turn == ROUNDS

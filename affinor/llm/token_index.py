@@ -29,7 +29,7 @@ from affinor.session import cut_lineage, scratch_path
 END_ID = 1
 BLOCK_TOKENS = 4_000_000
 CHUNK = 1 << 16  # bytes of a plane
-CACHE = 600_000  # pieces whose ids a task remembers
+CACHE = 300_000  # pieces whose ids a task remembers
 MAGIC = b"WMX1"
 BLOCK_SCHEMA = "part int, block int, n_docs long, n_tokens long, container binary"
 
