@@ -6,9 +6,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from affinor.functions.fuzzy import stretch_edits
 from affinor.functions.text import http_verdict
 from affinor.operators.ranking import distributed_rank, rnd, top_k
 
+GRAM = 6  # characters that a title and a citation must have in common as they stand
+
 
 def funnel(facts: dict[str, DataFrame], dim: DataFrame, key: str) -> DataFrame:
     """One count per fact table and department, with a total row (key null). Each frame in `facts` has the key."""
@@ -99,16 +102,54 @@ def append_absent(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFram
     return table.unionByName(new.dropDuplicates(keys).join(table.select(*keys), keys, "left_anti"))
 
 
-def anchor_hits(citations: DataFrame, items: DataFrame, authors: DataFrame, min_cite: int = 15, min_title: int = 20) -> DataFrame:
-    """(person, author, hits): authors of the items a person's citations name. An item is taken when its normalised title
-    stands in the citation as a run of whole words; the first such item per citation counts.
+def exact_runs(citations: DataFrame, items: DataFrame, min_cite: int, min_title: int) -> DataFrame:
+    """(person, citation, item) where the item's normalised title stands in the citation as a run of whole words.
 
     Titles meet citations by equality: a citation is cut into its word runs of the lengths titles have, so no citation is
-    compared with titles that only start alike. `citations`: person, citation, norm; `items`: item, norm."""
+    compared with titles that only start alike."""
     t = items.filter(F.length("norm") >= min_title).select("item", F.col("norm").alias("run"))
     lengths = t.agg(F.collect_set(F.size(F.split("run", " "))).alias("l")).scalar()  # the few word counts titles have
     c = citations.filter(F.length("norm") >= min_cite).withColumn("w", F.split("norm", " ")).withColumn("n", F.explode(lengths))
     runs = (c.filter(F.size("w") >= F.col("n")).select("person", "citation", "w", "n", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)).alias("i"))
             .select("person", "citation", F.array_join(F.slice("w", F.col("i"), F.col("n")), " ").alias("run")))
-    hit = runs.join(t, "run").groupBy("person", "citation").agg(F.min("item").alias("item"))
-    return hit.join(authors, "item").groupBy("person", "author").agg(F.count("*").alias("hits"))
+    return runs.join(t, "run").select("person", "citation", "item")
+
+
+def grams(df: DataFrame, text: str, *keep: str) -> DataFrame:
+    """Every run of GRAM characters of a text with its place, from 1."""
+    at = df.filter(F.length(text) >= GRAM).select(*keep, text, F.explode(F.sequence(F.lit(1), F.length(text) - GRAM + 1)).alias("at"))
+    return at.select(*keep, "at", F.substring(text, F.col("at"), F.lit(GRAM)).alias("gram"))
+
+
+def fuzzy_runs(citations: DataFrame, items: DataFrame, min_cite: int, min_title: int, similarity: int) -> DataFrame:
+    """(person, citation, item, edits) where some stretch of the citation is the title up to (100 - similarity) per cent of its characters.
+
+    With k edits allowed, a title falls into k + 1 segments, of which one at least is found unchanged in the citation. Of each segment the run
+    of GRAM characters that fewest citations hold is looked up, one that none holds not at all; so titles meet citations by their rarest
+    parts, and nothing is missed. Equal titles are looked up once. The pairs found are verified on the texts."""
+    text = items.filter(F.length("norm") >= min_title).groupBy(F.col("norm").alias("title")).agg(F.min("item").alias("item"))
+    text = text.withColumn("k", F.floor(F.length("title") * (100 - similarity) / 100).cast("int")).filter(F.length("title") >= GRAM * (F.col("k") + 1))
+    cited = citations.filter(F.length("norm") >= min_cite).groupBy("norm").agg(F.collect_set(F.struct("person", "citation")).alias("who"))
+    held = grams(cited.select("norm"), "norm", "norm").select("norm", "gram").distinct()
+    counts = held.groupBy("gram").agg(F.count("*").alias("n"))
+    size, start = F.length("title"), F.col("at") - 1
+    segment = F.floor(start * (F.col("k") + 1) / size)
+    inside = F.floor((start + GRAM - 1) * (F.col("k") + 1) / size) == segment
+    placed = (text.select("title", "k", F.explode(F.sequence(F.lit(1), size - GRAM + 1)).alias("at")).withColumn("segment", segment).filter(inside)
+              .select("title", "segment", "at", F.substring("title", F.col("at"), F.lit(GRAM)).alias("gram")))
+    rare = (placed.join(counts, "gram", "left").groupBy("title", "segment").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "gram")).alias("r"))
+            .filter("r.n > 0").select("title", F.col("r.gram").alias("gram")).distinct())
+    pairs = rare.join(held, "gram").select("title", "norm").distinct()
+    near = pairs.join(text, "title").withColumn("edits", stretch_edits("title", "norm")).filter(F.col("edits") <= F.col("k"))
+    return near.join(cited, "norm").select("item", "edits", F.explode("who").alias("w")).select("w.person", "w.citation", "item", "edits")
+
+
+def anchor_hits(citations: DataFrame, items: DataFrame, authors: DataFrame, min_cite: int = 15, min_title: int = 20, similarity: int | None = None) -> DataFrame:
+    """(person, author, hits): authors of the items a person's citations name. An item is taken when its normalised title stands in the
+    citation as a run of whole words, or, with a `similarity` in per cent, when it is that similar to a stretch of the citation. One item per
+    citation counts: the one with the fewest edits, of equals the first. `citations`: person, citation, norm; `items`: item, norm."""
+    hit = exact_runs(citations, items, min_cite, min_title).withColumn("edits", F.lit(0))
+    if similarity is not None:
+        hit = hit.unionByName(fuzzy_runs(citations, items, min_cite, min_title, similarity))
+    first = hit.groupBy("person", "citation").agg(F.min(F.struct("edits", "item")).alias("h")).select("person", F.col("h.item").alias("item"))
+    return first.join(authors, "item").groupBy("person", "author").agg(F.count("*").alias("hits"))

@@ -203,6 +203,38 @@ def anchor_hits(fx: Fixtures):
     return E.anchor_hits(c, t, fx.roles.select("item", F.col("entity").alias("author")))
 
 
+# Titles are the first eight words of the documents; a citation names one with an error that follows from its number: none, a misspelt
+# letter, a word split in two, letters dropped, another order of words.
+NOTES = """norm AS (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')) AS s FROM documents),
+    t AS (SELECT doc_id AS item, array_to_string(string_split(s, ' ')[:8], ' ') AS title FROM norm),
+    cit AS (SELECT item AS citation, item % 40 AS person, 'smith and lee ' || CASE item % 5 WHEN 0 THEN title WHEN 1 THEN title[:7] || 'q' || title[9:]
+      WHEN 2 THEN title[:9] || ' ' || title[10:] WHEN 3 THEN title[:11] || title[14:] ELSE array_to_string(list_reverse(string_split(title, ' ')), ' ') END || ' journal of notes 1999' AS norm FROM t)"""
+
+
+def notes(fx: Fixtures):
+    """(titles, citations) of the documents."""
+    words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+", " ")), " ")
+    t = fx.t("documents").select(F.col("doc_id").alias("item"), F.array_join(F.slice(words, 1, 8), " ").alias("norm"))
+    k, s = F.col("item") % 5, F.col("norm")
+    cut = lambda a, n=None: F.substring(s, F.lit(a), F.lit(n) if n else F.length(s))
+    wrong = (F.when(k == 0, s).when(k == 1, F.concat(cut(1, 7), F.lit("q"), cut(9))).when(k == 2, F.concat(cut(1, 9), F.lit(" "), cut(10)))
+             .when(k == 3, F.concat(cut(1, 11), cut(14))).otherwise(F.array_join(F.reverse(F.split(s, " ")), " ")))
+    return t, t.select((F.col("item") % 40).alias("person"), F.col("item").alias("citation"), F.concat(F.lit("smith and lee "), wrong, F.lit(" journal of notes 1999")).alias("norm"))
+
+
+@query("anchor_hits_fuzzy", f"""WITH {NOTES}, u AS (SELECT title, min(item) AS item, length(title) // 10 AS k FROM t WHERE length(title) >= 20 GROUP BY title),
+    seg AS (SELECT title, item, k, title[(length(title) * i + k) // (k + 1) + 1:(length(title) * (i + 1) + k) // (k + 1)] AS part FROM u, range(0, 30) r(i) WHERE i <= k),
+    pair AS (SELECT DISTINCT title, item, k, c.person, c.citation, c.norm FROM seg JOIN cit c ON contains(c.norm, part) WHERE length(c.norm) >= 15),
+    win AS (SELECT person, citation, item, min(levenshtein(title, substr(norm, a.i, length(title) + b.j - k))) AS edits, any_value(k) AS k
+      FROM pair, range(1, 400) a(i), range(0, 60) b(j) WHERE a.i <= length(norm) AND b.j <= 2 * k GROUP BY 1, 2, 3),
+    h AS (SELECT person, citation, arg_min(item, (edits, item)) AS item FROM win WHERE edits <= k GROUP BY 1, 2)
+    SELECT person, item * 7 % 50 + o AS author, count(*) AS hits FROM h, range(0, 2) x(o) GROUP BY 1, 2""")
+def anchor_hits_fuzzy(fx: Fixtures):
+    t, c = notes(fx)
+    authors = t.select("item", F.explode(F.array(F.col("item") * 7 % 50, F.col("item") * 7 % 50 + 1)).alias("author"))
+    return E.anchor_hits(c, t, authors, similarity=PARAMS.anchor_similarity)
+
+
 # ------------------------------------------------------------------ exports
 @query("export_entities", f"""WITH {REPRESENTATIVES}, r AS (SELECT entity, string_agg(item::VARCHAR, ',' ORDER BY rank) AS reps FROM reps GROUP BY 1),
     k AS (SELECT entity, string_agg(topic, ';' ORDER BY rank) AS keywords FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY weight DESC, topic) AS rank FROM fx_profile) WHERE rank <= 5 GROUP BY 1),
