@@ -108,8 +108,16 @@ def representatives(m: DataFrame, as_of: str, n: int, recent_years: int) -> Data
     return kept.unionByName(added)
 
 
+def item_entities(m: DataFrame) -> DataFrame:
+    """One row per item and entity: the entity's role, the item's attributes and how many entities it has. An item of any number of entities
+    is never one list; a hot item's count is summed in the map tasks and joined back to its rows."""
+    per = m.groupBy("item").agg(F.count("*").alias("n_entities"), F.max("title").alias("title"), F.max("year").alias("year"), F.max("cites").alias("cites"))
+    return m.select("item", "entity", "position", "is_corr", "at_home", "order_agnostic").join(per, "item")
+
+
 def items_merged(m: DataFrame) -> DataFrame:
-    """One row per item (and per part of a very long list): the entities and their roles, with the item's attributes."""
+    """The export view of `item_entities`: one row per item with the list of its entities and their roles. A list of more than 10,000 comes in
+    several rows (parts), each of them with the whole count; who needs all roles of such items as they are takes `item_entities`."""
     entry = F.struct("entity", "position", "is_corr", "at_home", "order_agnostic")
     first = m.groupBy("item").agg(F.count("*").alias("n_entities"), F.max("title").alias("title"), F.max("year").alias("year"),
                                   F.max("cites").alias("cites"))

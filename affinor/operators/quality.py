@@ -74,8 +74,10 @@ def reconcile(published: DataFrame, live: DataFrame, excluded: DataFrame | None
         l = l.join(aside, ["entity", "item"], "left_anti")
     j = p.alias("p").join(l.alias("l"), ["entity", "item"], "full_outer")
     here, found = F.col("_p").isNotNull(), F.col("_l").isNotNull()
-    ok = (here & found & F.col("p.doi").eqNullSafe(F.col("l.doi")) & (F.col("p.year") == F.col("l.year")) & (F.col("p.is_last") == F.col("l.is_last"))
-          & (title_ratio(squeezed(F.col("p.title")), squeezed(F.col("l.title"))) >= min_ratio))
+    facts = here & found & F.col("p.doi").eqNullSafe(F.col("l.doi")) & (F.col("p.year") == F.col("l.year")) & (F.col("p.is_last") == F.col("l.is_last"))
+    # titles last, and letter by letter only where they differ
+    ok = F.when(facts, F.when(F.col("p.title").eqNullSafe(F.col("l.title")), True)
+                .otherwise(title_ratio(squeezed(F.col("p.title")), squeezed(F.col("l.title"))) >= min_ratio)).otherwise(False)
     g = j.groupBy("entity").agg(F.count_if(here).alias("items"), F.count_if(ok).alias("good"), F.count_if(here & ~found).alias("missing"), F.count_if(~here).alias("extra"))
     return g.withColumn("verdict", F.when((F.col("good") == F.col("items")) & (F.col("extra") == 0), "ok").when(F.col("good") > 0, "partial").otherwise("fail"))
 

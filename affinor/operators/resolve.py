@@ -49,6 +49,68 @@ def names_compatible(a: Column, b: Column) -> Column:
     return (F.arrays_overlap(N.all_keys(a), N.all_keys(b)) | N.initials_explain(N.tokens(a), N.tokens(b)))
 
 
+# ------------------------------------------------------------------ candidate pool
+SPLIT = 50_000  # names that share a token and an institution, from which on they are looked up in parts
+
+
+def compatible_names(people: DataFrame, names: DataFrame, block: str) -> DataFrame:
+    """(person, candidate) of the same block (institution) where any name of the candidate is compatible with the person's: a shared
+    order-free key, or two shared full tokens with initials for the rest. `names`: candidate, name, block; several rows a candidate."""
+    p = people.filter("name IS NOT NULL").select("person", block, N.tokens(F.col("name")).alias("ta"), N.all_keys(F.col("name")).alias("keys"))
+    c = names.select("candidate", block, N.tokens(F.col("name")).alias("tb"), N.all_keys(F.col("name")).alias("keys"))
+    spread = lambda df, e, *cols: df.select(*cols, block, F.explode(e).alias("k")).distinct()
+    equal = spread(p, F.col("keys"), "person").join(spread(c, F.col("keys"), "candidate"), [block, "k"]).select("person", "candidate")
+    two = lambda t: N.token_pairs(N.full_tokens(F.col(t)))
+    near = spread(p, two("ta"), "person", "ta").join(spread(c, two("tb"), "candidate", "tb"), [block, "k"]).filter(N.initials_explain(F.col("ta"), F.col("tb")))
+    return equal.union(near.select("person", "candidate")).distinct()
+
+
+def search_queries(people: DataFrame, block: str) -> DataFrame:
+    """(person, block, query): the sorted tokens of each spelling of a name, and of its first and last word alone."""
+    s = N.search_spellings(F.col("name"))
+    words = F.split(F.trim(F.regexp_replace(F.regexp_replace("name", ",", " "), r"\s+", " ")), " ")
+    ends = F.when(F.size(words) >= 3, F.array(F.concat_ws(" ", F.get(words, F.lit(0)), F.element_at(words, -1)))).otherwise(F.array().cast("array<string>"))
+    q = people.filter("name IS NOT NULL").select("person", block, F.explode(F.array_distinct(F.concat(s, ends))).alias("spelling"))
+    return q.select("person", block, F.array_sort(F.array_distinct(N.tokens(F.col("spelling")))).alias("query")).filter(F.size("query") > 0).distinct()
+
+
+def name_search(people: DataFrame, names: DataFrame, block: str, split: int = SPLIT) -> DataFrame:
+    """(person, candidate) of the same block where a name holds every token of some spelling of the person's.
+
+    An index gives the names of each token and block, and how many they are. A query is looked up by its rarest token; one with a token that no
+    name holds is not looked up at all. Names of a frequent token lie in parts of about `split`, and a query visits all of them."""
+    index = names.select("candidate", block, F.array_distinct(N.tokens(F.col("name"))).alias("held")).distinct()
+    index = index.select("candidate", block, "held", F.explode("held").alias("token"))
+    counts = index.groupBy(block, "token").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / split).cast("int"))
+    queries = search_queries(people, block)
+    known = (queries.select("person", block, "query", F.explode("query").alias("token")).join(counts, [block, "token"])
+             .groupBy("person", block, "query").agg(F.count("*").alias("found"), F.min(F.struct("n", "token", "parts")).alias("r"))
+             .filter(F.col("found") == F.size("query")))
+    ask = known.select("person", block, "query", F.col("r.token").alias("token"), F.explode(F.sequence(F.lit(0), F.col("r.parts") - 1)).alias("part"))
+    wanted = index.join(counts.drop("n"), [block, "token"]).withColumn("part", F.pmod(F.xxhash64("candidate"), F.col("parts")).cast("int"))
+    hit = ask.join(wanted, [block, "token", "part"]).filter(F.size(F.array_except("query", "held")) == 0)
+    return hit.select("person", "candidate").distinct()
+
+
+def candidate_pool(people: DataFrame, roster: DataFrame, names: DataFrame, anchored: DataFrame, block: str) -> DataFrame:
+    """(person, candidate, roster, searched, anchor_hits), one row per pair: the candidates of the institution's roster whose names are
+    compatible, those of a name search for people whom the roster gives nobody, and the authors of a person's own publications.
+
+    `people`: person, name, block, by_roster; `roster`, `names`: candidate, name, block; `anchored`: person, candidate, hits."""
+    listed = compatible_names(people.filter("by_roster"), roster, block)
+    rest = people.join(listed.select("person").distinct(), "person", "left_anti")
+    tagged = lambda df, r, s: df.select("person", "candidate", F.lit(r).alias("roster"), F.lit(s).alias("searched"), F.lit(0).cast("long").alias("hits"))
+    every = (tagged(listed, True, False).unionByName(tagged(name_search(rest, names, block), False, True))
+             .unionByName(anchored.select("person", "candidate", F.lit(False).alias("roster"), F.lit(False).alias("searched"), F.col("hits").cast("long"))))
+    return every.groupBy("person", "candidate").agg(F.max("roster").alias("roster"), F.max("searched").alias("searched"), F.sum("hits").alias("anchor_hits"))
+
+
+def kept_candidates(cands: DataFrame, n: int = 8) -> DataFrame:
+    """(person, rank, candidate): at most n candidates of a person, strong ones first, then by own publications, affiliation and size."""
+    order = [F.col(c).desc() for c in ("strong", "anchor_hits", "affiliation_ok", "works")] + [F.col("candidate")]
+    return top_k(cands, ["person"], order, n).select("person", "rank", "candidate")
+
+
 # ------------------------------------------------------------------ evidence
 def field_share(topics: Column, topic_fields: Column, domains: Column, top_n: int = 10) -> Column:
     """Share of a profile's first topics inside the allowed fields, or domains where no fields are given."""

@@ -1,6 +1,27 @@
 """The same views as SQL text for the oracle engine, written independently of the DataFrame forms."""
 from __future__ import annotations
 
+#: The decision ladder over a view of candidates.
+DECISIONS = """WITH st AS (SELECT *, row_number() OVER (PARTITION BY person ORDER BY anchor_hits DESC, candidate) AS ra,
+          row_number() OVER (PARTITION BY person ORDER BY works DESC, candidate) AS rw FROM fx_cands WHERE strong),
+        agg AS (SELECT person, count(*) AS n, bool_or(affiliation_ok) AS any_aff, bool_or(affiliation_ok AND name_ok) AS any_name,
+          count(*) FILTER (orcid_match) AS n_orcid, max(candidate) FILTER (orcid_match) AS c_orcid, coalesce(bool_or(orcid_match AND affiliation_ok), false) AS orcid_aff
+          FROM fx_cands GROUP BY 1),
+        sa AS (SELECT person, count(*) AS n_strong, count(*) FILTER (anchor_hits > 0) AS n_anch, max(candidate) FILTER (ra = 1) AS top_anch,
+          max(anchor_hits) FILTER (ra = 1) AS a1, coalesce(max(anchor_hits) FILTER (ra = 2), 0) AS a2, max(candidate) FILTER (rw = 1) AS big,
+          max(works) FILTER (rw = 1) AS w1, coalesce(max(works) FILTER (rw = 2), 0) AS w2, max(orcid) FILTER (rw = 1) AS big_orcid,
+          min(orcid) AS omin, max(orcid) AS omax FROM st GROUP BY 1),
+        d AS (SELECT p.person, p.has_anchors, a.*, s.*, CASE WHEN p.orcid IS NOT NULL AND n_orcid = 1 AND orcid_aff THEN c_orcid
+            WHEN n_strong = 1 THEN big WHEN n_strong > 1 AND n_anch = 1 THEN top_anch
+            WHEN n_strong > 1 AND n_anch > 1 AND a1 >= 3 AND a1 >= 2 * a2 THEN top_anch
+            WHEN n_strong > 1 AND w2 <= 0.10 * greatest(w1, 1) AND NOT coalesce(omin <> big_orcid OR omax <> big_orcid, false) THEN big END AS choice
+          FROM fx_people p LEFT JOIN agg a ON a.person = p.person LEFT JOIN sa s ON s.person = p.person)
+        SELECT d.person AS person, d.choice AS candidate, CASE WHEN d.choice IS NOT NULL THEN 'matched' ELSE 'excluded' END AS status,
+          CASE WHEN d.choice IS NOT NULL THEN NULL WHEN coalesce(n_strong, 0) > 1 THEN 'ambiguous_multiple_candidates' WHEN n IS NULL THEN 'no_candidate'
+            WHEN NOT any_aff THEN 'affiliation_mismatch' WHEN NOT any_name THEN 'name_mismatch' ELSE 'topic_mismatch' END AS reason,
+          CASE WHEN d.choice IS NOT NULL THEN CASE WHEN c.orcid_match OR c.anchor_hits >= 1 THEN 'high' ELSE 'medium' END END AS confidence
+        FROM d LEFT JOIN fx_cands c ON c.person = d.person AND c.candidate = d.choice"""
+
 VIEWS: dict[str, str] = {
     "fx_entities": """SELECT s_suppkey AS entity, s_name AS name, s_nationkey::BIGINT AS dept, n_regionkey::BIGINT AS univ,
         n_regionkey::BIGINT AS field, s_acctbal AS balance,
@@ -144,25 +165,26 @@ VIEWS: dict[str, str] = {
         LEFT JOIN fx_name_pairs n USING (person, candidate)""",
     "fx_cands": """SELECT *, affiliation_ok AND name_ok AND (topic_ok OR anchor_hits >= 1) AS strong FROM fx_evidence
         WHERE name_ok OR anchor_hits > 0 OR affiliation_ok""",
-    "fx_decisions": """WITH st AS (SELECT *, row_number() OVER (PARTITION BY person ORDER BY anchor_hits DESC, candidate) AS ra,
-          row_number() OVER (PARTITION BY person ORDER BY works DESC, candidate) AS rw FROM fx_cands WHERE strong),
-        agg AS (SELECT person, count(*) AS n, bool_or(affiliation_ok) AS any_aff, bool_or(affiliation_ok AND name_ok) AS any_name,
-          count(*) FILTER (orcid_match) AS n_orcid, max(candidate) FILTER (orcid_match) AS c_orcid, coalesce(bool_or(orcid_match AND affiliation_ok), false) AS orcid_aff
-          FROM fx_cands GROUP BY 1),
-        sa AS (SELECT person, count(*) AS n_strong, count(*) FILTER (anchor_hits > 0) AS n_anch, max(candidate) FILTER (ra = 1) AS top_anch,
-          max(anchor_hits) FILTER (ra = 1) AS a1, coalesce(max(anchor_hits) FILTER (ra = 2), 0) AS a2, max(candidate) FILTER (rw = 1) AS big,
-          max(works) FILTER (rw = 1) AS w1, coalesce(max(works) FILTER (rw = 2), 0) AS w2, max(orcid) FILTER (rw = 1) AS big_orcid,
-          min(orcid) AS omin, max(orcid) AS omax FROM st GROUP BY 1),
-        d AS (SELECT p.person, p.has_anchors, a.*, s.*, CASE WHEN p.orcid IS NOT NULL AND n_orcid = 1 AND orcid_aff THEN c_orcid
-            WHEN n_strong = 1 THEN big WHEN n_strong > 1 AND n_anch = 1 THEN top_anch
-            WHEN n_strong > 1 AND n_anch > 1 AND a1 >= 3 AND a1 >= 2 * a2 THEN top_anch
-            WHEN n_strong > 1 AND w2 <= 0.10 * greatest(w1, 1) AND NOT coalesce(omin <> big_orcid OR omax <> big_orcid, false) THEN big END AS choice
-          FROM fx_people p LEFT JOIN agg a ON a.person = p.person LEFT JOIN sa s ON s.person = p.person)
-        SELECT d.person AS person, d.choice AS candidate, CASE WHEN d.choice IS NOT NULL THEN 'matched' ELSE 'excluded' END AS status,
-          CASE WHEN d.choice IS NOT NULL THEN NULL WHEN coalesce(n_strong, 0) > 1 THEN 'ambiguous_multiple_candidates' WHEN n IS NULL THEN 'no_candidate'
-            WHEN NOT any_aff THEN 'affiliation_mismatch' WHEN NOT any_name THEN 'name_mismatch' ELSE 'topic_mismatch' END AS reason,
-          CASE WHEN d.choice IS NOT NULL THEN CASE WHEN c.orcid_match OR c.anchor_hits >= 1 THEN 'high' ELSE 'medium' END END AS confidence
-        FROM d LEFT JOIN fx_cands c ON c.person = d.person AND c.candidate = d.choice""",
+    "fx_decisions": DECISIONS,
+    "fx_pool": """WITH n AS (SELECT p.person, p.dept, p.univ, c.candidate, c.inst1, c.inst2, c.last_known FROM fx_people p JOIN fx_profiles c ON c.alternative = p.name
+          UNION SELECT p.person, p.dept, p.univ, c.candidate, c.inst1, c.inst2, c.last_known FROM fx_name_pairs JOIN fx_people p USING (person) JOIN fx_profiles c USING (candidate)),
+        r AS (SELECT person, candidate FROM n WHERE dept % 2 = 0 AND last_known = univ),
+        s AS (SELECT p.person, c.candidate FROM fx_people p JOIN fx_profiles c ON c.alternative = p.name AND (c.inst1 = p.univ OR c.inst2 = p.univ) WHERE p.person NOT IN (SELECT person FROM r)),
+        a AS (SELECT person, candidate, anchor_hits AS hits FROM fx_profiles WHERE anchor_hits > 0
+          UNION ALL SELECT p.person, p.person + 5, 2 FROM fx_people p WHERE p.person % 16 = 0 AND p.person + 5 IN (SELECT candidate FROM fx_profiles))
+        SELECT person, candidate, bool_or(roster) AS roster, bool_or(searched) AS searched, sum(hits)::BIGINT AS anchor_hits FROM (
+          SELECT person, candidate, true AS roster, false AS searched, 0 AS hits FROM r UNION ALL SELECT person, candidate, false, true, 0 FROM s
+          UNION ALL SELECT person, candidate, false, false, hits FROM a) GROUP BY 1, 2""",
+    "fx_pool_cands": """SELECT *, affiliation_ok AND name_ok AND (topic_ok OR anchor_hits >= 1) AS strong FROM (
+        SELECT o.person, o.candidate, c.works, c.orcid, o.anchor_hits, (c.inst1 = p.univ AND c.year1 >= 1998) OR c.last_known = p.univ AS affiliation_ok,
+          n.person IS NOT NULL OR (o.anchor_hits >= 1 AND c.alternative = p.name) AS name_ok, s.share >= 0.4 AS topic_ok,
+          CASE WHEN p.orcid IS NOT NULL AND c.orcid IS NOT NULL THEN p.orcid = c.orcid END AS orcid_match
+        FROM fx_pool o JOIN fx_people p USING (person) JOIN fx_profiles c USING (candidate) LEFT JOIN fx_name_pairs n ON n.person = o.person AND n.candidate = o.candidate
+        JOIN (SELECT candidate, field, round(sum(CASE WHEN CASE WHEN field % 2 = 0 THEN t.f IN (field, (field + 1) % 5) ELSE t.d = field % 2 END THEN n ELSE 0 END) / sum(n), 3) + 0.0 AS share
+          FROM (SELECT c.candidate, f.field, t, CASE WHEN coalesce(t.n, 0) = 0 THEN 1 ELSE t.n END AS n FROM fx_profiles c, range(0, 5) f(field), unnest(c.topics) u(t)) GROUP BY 1, 2) s
+          ON s.candidate = o.candidate AND s.field = p.field)
+        WHERE name_ok OR anchor_hits > 0 OR affiliation_ok""",
+    "fx_pool_decisions": DECISIONS.replace("fx_cands", "fx_pool_cands"),
     "fx_words": """SELECT doc_id, lang, source, n_chars, word, pos FROM (SELECT doc_id, lang, source, n_chars,
         unnest(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) AS word,
         generate_subscripts(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), 1) - 1 AS pos FROM documents)""",

@@ -187,6 +187,29 @@ class Fixtures:
                                                       F.col("orcid").alias("person_orcid")), "person")
         return cut_lineage(R.evidence(pairs, self.field_scope, YEAR_TO))
 
+    @cached_property
+    def profile_names(self) -> DataFrame:
+        """(candidate, name): the display name and all alternatives."""
+        return self.profiles.select("candidate", F.explode(F.concat(F.array("name"), "alternatives")).alias("name"))
+
+    @cached_property
+    def pool(self) -> DataFrame:
+        """Candidates found from names: even departments go by the roster of their university, all others by a search among the
+        profiles affiliated with it; every sixteenth person's publications also name somebody else's profile."""
+        people = self.people.select("person", "name", "univ", (F.col("dept") % 2 == 0).alias("by_roster"))
+        at = self.profiles.select("candidate", F.explode(F.array_distinct(F.transform("affiliations", lambda a: a["inst"]))).alias("univ"))
+        listed = self.profiles.select("candidate", F.explode("last_known").alias("univ"))
+        own = self.profiles.filter("anchor_hits > 0").select("person", "candidate", F.col("anchor_hits").alias("hits"))
+        other = (self.people.filter("person % 16 = 0").select("person", (F.col("person") + 5).alias("candidate"), F.lit(2).cast("long").alias("hits"))
+                 .join(self.profiles.select("candidate"), "candidate", "left_semi").select("person", "candidate", "hits"))
+        return cut_lineage(R.candidate_pool(people, self.profile_names.join(listed, "candidate"), self.profile_names.join(at, "candidate"), own.unionByName(other), "univ"))
+
+    @cached_property
+    def pool_evidence(self) -> DataFrame:
+        p = self.people.select("person", F.col("name").alias("person_name"), "univ", "field", F.col("orcid").alias("person_orcid"))
+        pairs = self.pool.join(self.profiles.drop("person", "anchor_hits"), "candidate").join(p, "person")
+        return cut_lineage(R.evidence(pairs, self.field_scope, YEAR_TO))
+
     @cached_property
     def decisions(self) -> DataFrame:
         return R.decide(self.people, self.evidence)

@@ -52,6 +52,12 @@ def entity_counters(fx: Fixtures):
     return fx.counters
 
 
+@query("item_entities", """SELECT item, entity, position, is_corr, at_home, order_agnostic, count(*) OVER w AS n_entities, max(title) OVER w AS title, max(year) OVER w AS year,
+    max(cites) OVER w AS cites FROM fx_kept WINDOW w AS (PARTITION BY item)""")
+def item_entities(fx: Fixtures):
+    return I.item_entities(I.drop_excluded(fx.eligible, fx.exclusions))
+
+
 @query("items_merged", """SELECT item, 0::BIGINT AS part, count(*) AS n_entities, any_value(title) AS title, any_value(year) AS year,
     any_value(cites) AS cites, string_agg(entity || ':' || position, ',' ORDER BY entity) AS roles FROM fx_kept GROUP BY item""")
 def items_merged(fx: Fixtures):

@@ -8,7 +8,8 @@ from affinor.operators import items as I
 from affinor.operators import quality as K
 from affinor.operators import report as E
 from affinor.operators.ranking import rnd, top_k
-from affinor.plans.fixtures import AS_OF, Fixtures
+from affinor.operators.resolve import affiliation_recent
+from affinor.plans.fixtures import AS_OF, YEAR_TO, Fixtures
 from affinor.plans.q_items import REPRESENTATIVES
 from affinor.plans.q_text import CITES, STATUS, citations
 from affinor.plans.q_topics import TIMELINE
@@ -370,3 +371,37 @@ def reconcile_items(fx: Fixtures):
         "entity", "item", F.when(i % 17 == 0, ~F.col("is_last")).otherwise(F.col("is_last")).alias("is_last"), F.when(i % 19 != 0, F.col("doi")).alias("doi"), "year",
         F.when(i % 23 == 0, "Another thing").when(i % 5 == 0, F.concat("title", F.lit("."))).otherwise(F.col("title")).alias("title"))
     return K.reconcile(p, live).drop("extra")  # the SQL has no such column, and the fixture no such rows
+
+
+@query("reconcile_snapshots", """WITH a AS (SELECT entity, item, position = 'last' AS is_last, 'd' || item AS doi, year, title FROM fx_eligible),
+    x AS (SELECT entity, item FROM a WHERE item % 13 = 0), p AS (SELECT * FROM a WHERE item % 13 <> 0 AND item % 31 <> 7),
+    l AS (SELECT entity, item, CASE WHEN item % 17 = 0 THEN NOT is_last ELSE is_last END AS is_last, CASE WHEN item % 19 = 0 THEN NULL ELSE doi END AS doi, year,
+      CASE WHEN item % 23 = 0 THEN 'Another thing' WHEN item % 5 = 0 THEN upper(replace(title, ' ', ' - ')) || '.' WHEN item % 7 = 0 THEN replace(title, 'case', 'cse') ELSE title END AS title
+      FROM a WHERE item % 29 <> 0 AND NOT (item % 13 = 0 AND item % 2 = 1)),
+    k AS (SELECT * FROM l WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.entity = l.entity AND x.item = l.item)),
+    s AS (SELECT p.entity AS pe, k.entity AS ke, coalesce(p.entity, k.entity) AS entity, p.doi IS NOT DISTINCT FROM k.doi AND p.year = k.year AND p.is_last = k.is_last AS facts,
+      regexp_replace(lower(p.title), '[^a-z0-9]', '', 'g') AS pt, regexp_replace(lower(k.title), '[^a-z0-9]', '', 'g') AS kt FROM p FULL JOIN k ON p.entity = k.entity AND p.item = k.item),
+    j AS (SELECT *, pe IS NOT NULL AS here, ke IS NOT NULL AS found, coalesce(facts AND 100.0 * (1 - levenshtein(pt, kt) / greatest(length(pt), length(kt))) >= 90, false) AS ok FROM s),
+    g AS (SELECT entity, count(*) FILTER (here) AS items, count(*) FILTER (here AND found AND ok) AS good, count(*) FILTER (here AND NOT found) AS missing, count(*) FILTER (NOT here) AS extra FROM j GROUP BY 1),
+    e AS (SELECT entity, count(*) AS aside FROM x GROUP BY 1), n AS (SELECT entity, count(*) AS live FROM l GROUP BY 1)
+    SELECT g.entity, items, good, missing, extra, CASE WHEN good = items AND extra = 0 THEN 'ok' WHEN good > 0 THEN 'partial' ELSE 'fail' END AS verdict,
+      items + coalesce(aside, 0) AS published, coalesce(live, 0) AS live, g.entity % 12 + 1991 >= 1999 AS recent
+    FROM g LEFT JOIN e USING (entity) LEFT JOIN n USING (entity)""")
+def reconcile_snapshots(fx: Fixtures):
+    """Items left out on purpose are put back into the counts; every thirteenth item is, and half of those are in the second snapshot.
+    Of the others some are only there, and titles differ in case, marks and letters. Recency as the spot check defines it: a year tighter."""
+    i = F.col("item")
+    every = fx.eligible.select("entity", "item", (F.col("position") == "last").alias("is_last"), F.concat(F.lit("d"), "item").alias("doi"), "year", "title")
+    aside = every.filter(i % 13 == 0).select("entity", "item")
+    published = every.filter((i % 13 != 0) & (i % 31 != 7))
+    t = F.col("title")
+    live = every.filter((i % 29 != 0) & ~((i % 13 == 0) & (i % 2 == 1))).select(
+        "entity", "item", F.when(i % 17 == 0, ~F.col("is_last")).otherwise(F.col("is_last")).alias("is_last"), F.when(i % 19 != 0, F.col("doi")).alias("doi"), "year",
+        F.when(i % 23 == 0, "Another thing").when(i % 5 == 0, F.concat(F.upper(F.replace(t, F.lit(" "), F.lit(" - "))), F.lit("."))).when(i % 7 == 0, F.replace(t, F.lit("case"), F.lit("cse")))
+        .otherwise(t).alias("title"))
+    counts = lambda df, name: df.groupBy("entity").agg(F.count("*").alias(name))
+    checked = K.reconcile(published, live, aside).join(counts(aside, "aside"), "entity", "left").join(counts(live, "live"), "entity", "left")
+    years = F.array(F.struct(F.lit(0).alias("inst"), F.array((F.col("entity") % 12 + 1991).cast("int")).alias("years")))
+    recent = affiliation_recent(years, F.array(F.lit(1)), F.lit(0), YEAR_TO, PARAMS.affiliation_years - 1)
+    return checked.select("entity", "items", "good", "missing", "extra", "verdict", (F.col("items") + F.coalesce("aside", F.lit(0))).alias("published"),
+                          F.coalesce("live", F.lit(0)).alias("live"), recent.alias("recent"))

@@ -82,6 +82,27 @@ def match_decide(fx: Fixtures):
     return fx.decisions
 
 
+@query("match_pool", "SELECT person, candidate, roster, searched, anchor_hits FROM fx_pool")
+def match_pool(fx: Fixtures):
+    return fx.pool
+
+
+@query("match_pool_candidates", "SELECT person, candidate, anchor_hits, affiliation_ok, name_ok, topic_ok, orcid_match, strong FROM fx_pool_cands")
+def match_pool_candidates(fx: Fixtures):
+    return fx.pool_evidence.select("person", "candidate", "anchor_hits", "affiliation_ok", "name_ok", "topic_ok", "orcid_match", "strong")
+
+
+@query("match_pool_decide", "SELECT * FROM fx_pool_decisions")
+def match_pool_decide(fx: Fixtures):
+    return R.decide(fx.people, fx.pool_evidence)
+
+
+@query("match_kept", """SELECT person, rank::INT AS rank, candidate FROM (SELECT person, candidate, row_number() OVER (PARTITION BY person
+    ORDER BY strong DESC, anchor_hits DESC, affiliation_ok DESC, works DESC, candidate) AS rank FROM fx_pool_cands) WHERE rank <= 8""")
+def match_kept(fx: Fixtures):
+    return R.kept_candidates(fx.pool_evidence)
+
+
 LEADING = """lead_n AS (SELECT c.candidate, count(*) AS n FROM fx_profiles c JOIN fx_memberships m ON m.entity = c.candidate
     JOIN fx_items i USING (item) WHERE senior AND i.year BETWEEN 1997 AND 2001 GROUP BY 1)"""
 
