@@ -69,7 +69,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """64-bit tokens of a text's distinct word n-grams, sorted."""
 
-    def __init__(self, n: int = N, remember: int = 200_000):
+    def __init__(self, n: int = N, remember: int = 100_000):
         self.n, self.remember, self.seen = n, remember, {}
 
     def tokens(self, text: str | None) -> np.ndarray:
