@@ -75,6 +75,7 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     """`mapInArrow` with batches bounded by bytes, not by rows alone: long texts would fill a worker otherwise. The bound is a setting of the
     session, since Spark reads it when the plan runs. A worker waits idle for its next task, so what a task freed goes back to the system."""
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        allocate_frugally()
         try:
             yield from run(batches)
         finally:
@@ -84,13 +85,23 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(tidy, schema)
 
 
+def c_library(name: str) -> Callable[..., int]:
+    """A function of the system's C library; one that does nothing where it has none of this name."""
+    return getattr(ctypes.CDLL(None), name, lambda *_: 0)
+
+
+def allocate_frugally() -> None:
+    """Large arrays go back to the system as soon as they are freed, in the C library (its limits are its own option numbers) and in Arrow."""
+    mallopt, trim_threshold, mmap_threshold = c_library("mallopt"), -1, -3
+    mallopt(mmap_threshold, 1 << 20)
+    mallopt(trim_threshold, 4 << 20)
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def give_back() -> None:
-    """Return freed memory to the system, where its C library can."""
+    """Return freed memory to the system."""
     gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+    c_library("malloc_trim")(0)
 
 
 def by_bytes(b: pa.RecordBatch, column: int, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:

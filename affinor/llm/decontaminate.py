@@ -26,7 +26,7 @@ from affinor.llm.common import map_batches, matching
 from affinor.session import cut_lineage
 
 WINDOW = 13
-BLOCK_WORDS = 1_000_000  # words of documents per container
+BLOCK_WORDS = 300_000  # words of documents per container
 PHRASE_WORDS = 500_000  # words of benchmark items per search
 SHARE = 20  # contaminated from one word in so many
 _BYTES = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256)).lower()
