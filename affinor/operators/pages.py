@@ -12,7 +12,8 @@ from pyspark.sql.types import ArrayType, StringType
 from affinor.functions.text import tidy_text
 
 ORCID = r"(?i)orcid\.org/(\d{4}-\d{4}-\d{4}-\d{3}[\dX])"
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+# one start per run of characters and a bounded number of labels: Java repeats a group by recursion
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,126}\.[A-Za-z]{2,}"
 
 
 def title(html: Column) -> Column:
