@@ -6,6 +6,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from affinor.session import cut_lineage
+
+BROADCAST_NODES = 100_000
+
 
 def rule_counts(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Rows that break each rule, all rules in one pass over the table."""
@@ -52,6 +56,53 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return j.select(key, change.alias("change")).filter("change IS NOT NULL")
 
 
+def hashed(df: DataFrame, key: str) -> DataFrame:
+    """The rows with the place of their key in a hash tree and two hashes of the whole row, columns in the order of their names. A hash passes
+    over nulls, so it is told where they are."""
+    cols = [e for c in sorted(df.columns) for e in (F.isnull(c), F.col(c))]
+    return df.withColumn("_at", F.xxhash64(key)).withColumn("_h1", F.xxhash64(F.lit(1), *cols)).withColumn("_h2", F.xxhash64(F.lit(2), *cols))
+
+
+def node_of(level: int, bits: int) -> Column:
+    """Node of a row at a level of the tree: the lowest bits of its place, more of them the deeper."""
+    return F.col("_at").bitwiseAND(F.lit((1 << bits * (level + 1)) - 1))
+
+
+def differing_nodes(old: DataFrame, new: DataFrame, level: int, bits: int) -> DataFrame:
+    """Nodes of a level whose digests differ. A digest is the number of rows and the sums of both hashes, so a map task sends one row per node."""
+    def digests(df: DataFrame, sign: int) -> DataFrame:
+        return df.select(node_of(level, bits).alias("node"), F.lit(sign).alias("n"), *[(F.lit(sign) * F.col(h).cast("decimal(20,0)")).alias(h) for h in ("_h1", "_h2")])
+    both = digests(old, 1).unionByName(digests(new, -1))
+    sums = both.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n", "_h1", "_h2")])
+    return sums.filter("n <> 0 OR _h1 <> 0 OR _h2 <> 0").select("node")
+
+
+def below(rows: DataFrame, nodes: DataFrame, count: int, level: int, bits: int) -> DataFrame:
+    """Rows under one of the `count` nodes. Few nodes are broadcast, so nothing else moves; many are joined by shuffle."""
+    at = rows.withColumn("node", node_of(level, bits))
+    return at.join(F.broadcast(nodes) if count <= BROADCAST_NODES else nodes, "node", "left_semi").drop("node")
+
+
+def changed_parts(old: DataFrame, new: DataFrame, key: str, levels: int = 2, bits: int = 12) -> tuple[DataFrame, DataFrame]:
+    """What is left of both snapshots after a descent through a hash tree with 2^bits children a node: rows in leaves whose digests
+    differ. Every level is digested for rows below differing nodes alone. Two different leaves pass as equal only if their row counts and
+    the sums of two 64-bit hashes of their rows agree. Rows without a key are all left, since they equal none."""
+    old = old.select(*new.columns)
+    keyed, loose = F.col(key).isNotNull(), F.col(key).isNull()
+    a, b = hashed(old.filter(keyed), key), hashed(new.filter(keyed), key)
+    for level in range(levels):
+        nodes = cut_lineage(differing_nodes(a, b, level, bits))
+        n = nodes.count()
+        a, b = below(a, nodes, n, level, bits), below(b, nodes, n, level, bits)
+    return a.drop("_at", "_h1", "_h2").unionByName(old.filter(loose)), b.drop("_at", "_h1", "_h2").unionByName(new.filter(loose))
+
+
+def snapshot_diff_by_tree(old: DataFrame, new: DataFrame, key: str, levels: int = 2, bits: int = 12) -> DataFrame:
+    """`snapshot_diff` of two snapshots with the same columns, at most one row per key, of which little differs: only rows in differing
+    leaves of a hash tree are joined, so what is shuffled grows with the change. Rows without a key are compared with none."""
+    return snapshot_diff(*changed_parts(old, new, key, levels, bits), key)
+
+
 def title_ratio(a: Column, b: Column) -> Column:
     """Similarity of two squeezed texts in per cent: 100 (1 - distance / longer length)."""
     longer = F.greatest(F.length(a), F.length(b))

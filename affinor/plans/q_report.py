@@ -357,6 +357,21 @@ def snapshot_diff(fx: Fixtures):
     return K.snapshot_diff(counts(e.filter("entity % 9 <> 5")), counts(e.filter("item % 50 <> 0 AND entity % 9 <> 4")), "entity")
 
 
+ORDER_STATE = "o_orderkey AS k, o_custkey AS cust, o_orderstatus AS status, o_totalprice AS price"
+
+
+@query("snapshot_diff_by_tree", f"""WITH od AS (SELECT {ORDER_STATE} FROM orders WHERE o_orderkey % 997 <> 3),
+    nw AS (SELECT k, cust, CASE WHEN k % 499 = 5 THEN NULL ELSE status END AS status, CASE WHEN k % 613 = 2 THEN price + 1 ELSE price END AS price FROM (SELECT {ORDER_STATE} FROM orders) WHERE k % 887 <> 4)
+    SELECT coalesce(od.k, nw.k) AS k, CASE WHEN nw.k IS NULL THEN 'missing' WHEN od.k IS NULL THEN 'added' ELSE 'changed' END AS change FROM od FULL JOIN nw ON od.k = nw.k
+    WHERE od.k IS NULL OR nw.k IS NULL OR (od.cust, od.status, od.price) IS DISTINCT FROM (nw.cust, nw.status, nw.price)""")
+def snapshot_diff_by_tree(fx: Fixtures):
+    """Two states of all orders, of which about one in 150 was dropped, added or altered."""
+    state = fx.t("orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("cust"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    k = F.col("k")
+    new = state.filter(k % 887 != 4).withColumns({"status": F.when(k % 499 != 5, F.col("status")), "price": F.col("price") + F.when(k % 613 == 2, 1).otherwise(0)})
+    return K.snapshot_diff_by_tree(state.filter(k % 997 != 3), new, "k")
+
+
 @query("reconcile_items", """WITH p AS (SELECT entity, item, position = 'last' AS is_last, 'd' || item AS doi, year, title FROM fx_eligible),
     l AS (SELECT entity, item, CASE WHEN item % 17 = 0 THEN NOT is_last ELSE is_last END AS is_last, CASE WHEN item % 19 = 0 THEN NULL ELSE doi END AS doi, year,
       CASE WHEN item % 23 = 0 THEN 'Another thing' WHEN item % 5 = 0 THEN title || '.' ELSE title END AS title FROM p WHERE item % 29 <> 0),
