@@ -1,6 +1,9 @@
 """Edges and what is read off them: adjacency, degree, level of detail, modularity, geometry, labels, evidence pairs."""
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,23 +96,57 @@ def cluster_labels(profile: DataFrame, labels: DataFrame, n: int = 5) -> DataFra
                     (F.col("labelled").isNotNull() & (F.col("labelled") != F.col("keywords"))).alias("stale"))
 
 
-def closest_item_pairs(edges: DataFrame, items: DataFrame, memberships: DataFrame, n: int = 3) -> DataFrame:
+def _enough_pairs(item_a: np.ndarray, item_b: np.ndarray, norm_a: np.ndarray, norm_b: np.ndarray, sim: np.ndarray, ok: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column numbers of the pairs of a tile that `n` rounds can ever need: whichever n - 1 titles of either side are used up, the best
+    pair left is among them. Going down from the best, a pair is taken unless one with its two titles is, or `n` with its left or `n` with its
+    right title are; used titles can spoil n of the taken pairs each, so 2n(n - 1) + 1 suffice."""
+    need, seen = 2 * n * (n - 1) + 1, 4 * n * n
+    flat = np.where(ok, sim, -np.inf).ravel()
+    there = int(ok.sum())
+    while True:
+        if seen < there:
+            edge = -np.partition(-flat, seen - 1)[seen - 1]
+            at = np.flatnonzero(flat >= edge)
+        else:
+            at = np.flatnonzero(flat > -np.inf)
+        r, c = np.unravel_index(at, sim.shape)
+        order = np.lexsort((item_b[c], item_a[r], -flat[at]))
+        left, right, both, kept = Counter(), Counter(), set(), []
+        for o in order:
+            x, y = norm_a[r[o]], norm_b[c[o]]
+            if left[x] < n and right[y] < n and (x, y) not in both:
+                left[x] += 1
+                right[y] += 1
+                both.add((x, y))
+                kept.append(o)
+                if len(kept) == need:
+                    return r[kept], c[kept]
+        if len(at) == there:
+            return r[kept], c[kept]
+        seen *= 8
+
+
+def closest_item_pairs(edges: DataFrame, items: DataFrame, memberships: DataFrame, n: int = 3, block: int = V.BLOCK) -> DataFrame:
     """Closest item pairs across the two ends of every edge: items both ends have, and titles found on both sides, are left out, and
-    each title is used once.
+    each title is used once. Equal similarities go to the smaller items. An item without a vector has no pair.
 
-    In each of `n` rounds the best pair of every edge is one grouped maximum; pairs with either of its titles then leave."""
+    The pairs themselves are never rows. An edge is cut into tiles of bounded size, and a tile gives the few pairs that `n` rounds can need of
+    it; in each round the best pair of every edge is then one grouped maximum, and pairs with either of its titles leave."""
     edge = ["source", "target"]
-    t = items.select("entity", "item", "v", F.xxhash64(norm_title(F.col("title"))).alias("norm"))
+    t = items.filter(F.col("v").isNotNull()).select("entity", "item", "v", F.xxhash64(norm_title(F.col("title"))).alias("norm"))
     other = memberships.select("entity", "item").distinct()
 
     def side(end: str, far: str) -> DataFrame:
         own = edges.select(*edge).join(t.withColumnRenamed("entity", end), end)
         return own.join(other.withColumnRenamed("entity", far), [far, "item"], "left_anti")
-    a, b = side("source", "target"), side("target", "source")
-    a, b = (x.join(y.select(*edge, "norm").distinct(), [*edge, "norm"], "left_anti") for x, y in ((a, b), (b, a)))
-    b = b.select(*edge, F.col("item").alias("item_b"), F.col("norm").alias("norm_b"), F.col("v").alias("_w"))
-    left = cut_lineage(a.select(*edge, F.col("item").alias("item_a"), F.col("norm").alias("norm_a"), "v").join(b, edge)
-                       .select(*edge, "item_a", "item_b", "norm_a", "norm_b", F.round(V.dot("v", "_w"), 9).alias("sim")))
+    a, b = cut_lineage(side("source", "target")), cut_lineage(side("target", "source"))
+    a, b = (x.join(y.select(*edge, "norm").distinct(), [*edge, "norm"], "left_anti").select(*edge, F.col("item").alias("id"), "v", "norm") for x, y in ((a, b), (b, a)))
+
+    def fn(tile: V.Tile):
+        x, y = tile.left("norm"), tile.right("norm")
+        r, c = _enough_pairs(tile.i, tile.j, x, y, tile.sim, tile.ok, n)
+        return {"item_a": tile.i[r], "item_b": tile.j[c], "norm_a": x[r], "norm_b": y[c], "sim": tile.sim[r, c]}
+    left = cut_lineage(V.tile_map(a, fn, "item_a long, item_b long, norm_a long, norm_b long, sim double", edge, right=b, carry=["norm"], block=block))
     out = None
     for rank in range(1, n + 1):
         key = F.struct("sim", (-F.col("item_a")).alias("a"), (-F.col("item_b")).alias("b"), "norm_a", "norm_b")

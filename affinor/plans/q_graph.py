@@ -96,7 +96,26 @@ def neighbour_caution(fx: Fixtures):
                     F.when(small <= 5, "strong").when(small <= 10, "mild").otherwise("none").alias("caution"))
 
 
-@query("closest_item_pairs")
+def _best_pair(rank: int) -> str:
+    """The best pair of every edge whose titles no earlier round has used."""
+    used = " ".join(f"AND NOT EXISTS (SELECT 1 FROM p{r} u WHERE u.source = p.source AND u.target = p.target AND (u.norm_a = p.norm_a OR u.norm_b = p.norm_b))" for r in range(1, rank))
+    return f"""p{rank} AS (SELECT p.*, {rank}::BIGINT AS rank FROM pairs p WHERE true {used}
+      QUALIFY row_number() OVER (PARTITION BY source, target ORDER BY sim DESC, item_a, item_b) = 1)"""
+
+
+CLOSEST = f"""sims AS (SELECT a.entity AS i, b.entity AS j, round(list_dot_product(a.v, b.v), 9) AS sim FROM fx_entity_vectors a JOIN fx_entity_vectors b ON a.entity <> b.entity),
+    knn AS (SELECT DISTINCT least(i, j) AS source, greatest(i, j) AS target FROM (SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) <= 5)),
+    newest AS (SELECT entity, item, v, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS norm FROM fx_item_vectors v JOIN fx_items t USING (item)
+      QUALIFY row_number() OVER (PARTITION BY entity ORDER BY v.year DESC, item) <= 30),
+    sa AS (SELECT source, target, item, norm, v FROM knn JOIN newest ON entity = source WHERE NOT EXISTS (SELECT 1 FROM fx_item_vectors o WHERE o.entity = target AND o.item = newest.item)),
+    sb AS (SELECT source, target, item, norm, v FROM knn JOIN newest ON entity = target WHERE NOT EXISTS (SELECT 1 FROM fx_item_vectors o WHERE o.entity = source AND o.item = newest.item)),
+    pairs AS (SELECT a.source, a.target, a.item AS item_a, b.item AS item_b, a.norm AS norm_a, b.norm AS norm_b, round(list_dot_product(a.v, b.v), 9) AS sim
+      FROM (SELECT * FROM sa ANTI JOIN sb USING (source, target, norm)) a JOIN (SELECT * FROM sb ANTI JOIN sa USING (source, target, norm)) b USING (source, target)),
+    {_best_pair(1)}, {_best_pair(2)}, {_best_pair(3)}"""
+
+
+@query("closest_item_pairs", f"""WITH {CLOSEST} SELECT source, target, rank, item_a, item_b, round(sim, 6) + 0.0 AS sim
+    FROM (FROM p1 UNION ALL FROM p2 UNION ALL FROM p3)""")
 def closest_item_pairs(fx: Fixtures):
     from affinor.operators import vectors as V
     items = (fx.item_vectors.join(fx.items.select("item", "title"), "item"))
