@@ -41,7 +41,12 @@ def map_xy(vectors: DataFrame, id: str = "entity") -> DataFrame:
     v = vectors.select(id, array_to_vector("v").alias("f"))
     xy = PCA(k=2, inputCol="f", outputCol="p").fit(v).transform(v).select(id, vector_to_array("p").alias("p"))
     xy = xy.select(id, F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+    return scaled_xy(xy, id)
+
+
+def scaled_xy(xy: DataFrame, id: str = "entity") -> DataFrame:
+    """Coordinates centred on their mean and scaled so that the largest is 1; places that are all the same come out as 0."""
     c = xy.agg(F.struct(F.avg("x").alias("x"), F.avg("y").alias("y"))).scalar()
     xy = xy.withColumn("c", c).select(id, (F.col("x") - F.col("c.x")).alias("x"), (F.col("y") - F.col("c.y")).alias("y"))
     m = xy.agg(F.max(F.greatest(F.abs("x"), F.abs("y")))).scalar()
-    return xy.withColumn("m", m).select(id, (F.col("x") / F.col("m")).alias("x"), (F.col("y") / F.col("m")).alias("y"))
+    return xy.withColumn("m", m).select(id, *[F.coalesce(F.try_divide(F.col(c), F.col("m")), F.lit(0.0)).alias(c) for c in ("x", "y")])
