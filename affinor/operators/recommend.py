@@ -66,7 +66,7 @@ def bridge(vectors: DataFrame, anchors: DataFrame, k: int, outside: bool = False
         for c, gone in enumerate(t.right_list("gone")):
             if gone:
                 ok[np.isin(t.i, gone), c] = False
-        i, j, s = V._best(t.i, t.j, np.minimum(t.sim, to_b), ok, k)
+        i, j, s = V._best(t, k, "best", ok, raw=np.minimum(t.sim, to_b))
         row = {x: n for n, x in enumerate(t.i)}
         col = {x: n for n, x in enumerate(t.j)}
         r, c = np.array([row[x] for x in i], dtype=int), np.array([col[x] for x in j], dtype=int)
