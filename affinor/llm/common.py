@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 500_000
 BATCH_BYTES = "4m"
+# For rows of about a megabyte each (containers). Left alone, Parquet's writer looks at sizes every 100 rows, so that all containers of a task are
+# one page, which is compressed, and read again, as a whole, in native memory.
+WIDE_ROWS = {"parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinor.llm.fm_index import FMIndex, build
-from affinor.llm.common import map_batches, matching
+from affinor.llm.common import WIDE_ROWS, map_batches, matching
 from affinor.session import cut_lineage
 
 WINDOW = 13
@@ -67,7 +67,7 @@ def build_index(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
         if texts:
             yield close()
 
-    return cut_lineage(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key")).transform(map_batches, index, INDEX_SCHEMA))
+    return cut_lineage(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key")).transform(map_batches, index, INDEX_SCHEMA), **WIDE_ROWS)
 
 
 def phrase_blocks(benchmark: DataFrame, window: int = WINDOW, phrase_words: int = PHRASE_WORDS) -> Iterator[dict[int, tuple[list, list]]]:

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from affinor.llm.common import by_bytes, map_batches, words_of
+from affinor.llm.common import WIDE_ROWS, by_bytes, map_batches, words_of
 from affinor.session import cut_lineage, scratch_path
 
 TOP = 50
@@ -100,7 +100,7 @@ def write_index(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> N
         if sum(map(len, ids)):
             yield close()
 
-    docs.select(F.col("doc_id").cast("long"), "text").transform(map_batches, index, INDEX).write.option("compression", "zstd").parquet(path)
+    docs.select(F.col("doc_id").cast("long"), "text").transform(map_batches, index, INDEX).write.option("compression", "zstd").options(**WIDE_ROWS).parquet(path)
 
 
 def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from affinor.llm.common import by_bytes, map_batches, per_worker
+from affinor.llm.common import WIDE_ROWS, by_bytes, map_batches, per_worker
 from affinor.session import cut_lineage, scratch_path
 
 END_ID = 1
@@ -333,7 +333,7 @@ def write_index(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
             yield close()
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.transform(map_batches, encode, BLOCK_SCHEMA).write.option("compression", "none").parquet(path)
+    ordered.transform(map_batches, encode, BLOCK_SCHEMA).write.option("compression", "none").options(**WIDE_ROWS).parquet(path)
 
 
 def read_index(blocks: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from helpers import SF, docs, rows, table
 
@@ -71,6 +72,18 @@ def test_awkward_rows(spark):
     assert {r["n_hit"] for r in rows(D.decontaminate(d, b.limit(0)))} == {0}
 
 
+def test_containers_are_written_in_small_row_groups(spark, monkeypatch):
+    """A task's containers are neither one page nor one row group, so neither is held whole when they are compressed or read."""
+    monkeypatch.setitem(D.WIDE_ROWS, "parquet.block.size", 1 << 18)
+    rng = random.Random(0)
+    some = docs(spark, [{"doc_id": i, "text": " ".join(f"{rng.getrandbits(40):x}" for _ in range(5000))} for i in range(60)]).coalesce(1)
+    index = D.build_index(some, block_words=5000)
+    assert index.count() == 60
+    groups = [f.row_group(i) for f in (pq.ParquetFile(p.removeprefix("file:")).metadata for p in index.inputFiles()) for i in range(f.num_row_groups)]
+    assert sum(g.total_byte_size for g in groups) > 1 << 21
+    assert max(g.total_byte_size for g in groups) < 1 << 19
+
+
 def test_drop_keeps_the_clean_rows(spark):
     d = docs(spark, [(1, "x y z", None, None, None), (1, "other", None, None, None), (None, "x y z", None, None, None), (2, None, None, None, None)], clash=False)
     b = spark.createDataFrame([(1, "x y z")], "item_id long, text string")
