@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from affinor.operators import graph as G
-from affinor.operators.ranking import rnd, top_k
+from affinor.operators.ranking import distributed_rank, rnd, top_k
 from affinor.plans.fixtures import Fixtures
 from affinor.plans.registry import query
 
@@ -12,10 +12,10 @@ ADJ = """adj AS (SELECT source AS entity, target AS other, sim, apart FROM fx_ed
 
 
 @query("edge_adjacency", f"""WITH {ADJ} SELECT entity, other, rank, round(sim, 6) + 0.0 AS sim FROM (SELECT *, row_number() OVER (PARTITION BY entity
-    ORDER BY sim DESC, other) AS rank FROM adj) WHERE rank <= 5""")
+    ORDER BY sim DESC, other) AS rank FROM adj)""")
 def edge_adjacency(fx: Fixtures):
-    return (top_k(fx.adjacency, ["entity", "type"], [F.col("sim").desc(), F.col("other")], 5)
-            .select("entity", "other", F.col("rank").cast("long").alias("rank"), rnd("sim").alias("sim")))
+    """Every neighbour of every entity, strongest first; a hub's list is ranked in several tasks."""
+    return distributed_rank(fx.adjacency, ["entity", "type"], [("sim",), "other"]).select("entity", "other", "rank", rnd("sim").alias("sim"))
 
 
 @query("edges_visible", """SELECT mode, source, target FROM (SELECT 'similarity' AS mode, * FROM fx_edges UNION ALL SELECT 'cross', * FROM fx_edges WHERE apart) e
